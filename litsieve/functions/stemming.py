@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from litsieve.session import ship_package
+
 _CONSONANT = "[^aeiou]"
 _VOWEL = "[aeiouy]"
 _C = _CONSONANT + "[^aeiouy]*"
@@ -117,8 +119,10 @@ def _stem_word_lists(batch: pa.Array) -> pa.Array:
 
 
 def stem_word(word: Column) -> Column:
+    ship_package()
     return _stem_word(word)
 
 
 def stem_words(word_array: Column) -> Column:
+    ship_package()
     return _stem_word_lists(word_array)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litsieve.session import materialize
+from litsieve.session import materialize, ship_package
 
 DIGITS = 9  # squared distances are ranked after rounding, so that ties are stable
 MAX_PIVOTS = 256
@@ -121,6 +121,7 @@ def neighbour_levels(
     """(levels, keys): ``levels`` (q, d2, n_true, n_false, nearer) with all ties of the k-th
     neighbour, ``keys`` (doc_id, q). ``query`` is (doc_id, idx, val), ``train`` has ``flag`` too.
     """
+    ship_package()
     keyed = materialize(_vector_key(query), "knn-query")
     votes = materialize(
         _vector_key(train)

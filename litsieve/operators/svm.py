@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.keys import FOLD_SEED
 from litsieve.operators.split import fold_column
+from litsieve.session import ship_package
 
 COMPONENTS = 256
 PARALLELISM = 8
@@ -61,6 +62,8 @@ def fourier_features(
     Constant terms are dropped. Centring becomes a shift, so rows stay sparse.
     """
 
+    ship_package()
+
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         weights, shift = random_weights(len(scaling.mean), gamma, components, seed)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,21 @@ def scratch_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+@functools.cache
+def _ship(application_id: str) -> None:
+    package = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="litsieve-code-")) / "litsieve.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    SparkSession.getActiveSession().sparkContext.addPyFile(str(archive))
+
+
+def ship_package() -> None:
+    """Sends this package's code to the Python workers, once per application."""
+    _ship(SparkSession.getActiveSession().sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
