@@ -55,16 +55,21 @@ def collapse_white_space(text: Column) -> Column:
     return F.regexp_replace(text, WHITE_SPACE, " ")
 
 
-def clean_text(text: Column, preset: str = "plain") -> Column:
-    """All steps up to stop words and stemming."""
-    for step in PRESETS[preset]:
+def clean_text(text: Column, preset: str = "plain", line_ends: bool = False) -> Column:
+    """All steps up to stop words and stemming.
+
+    ``line_ends`` leaves line ends in: no later step tells them from spaces, so a text that is
+    split on white space next needs one pass less.
+    """
+    lower, newline, *rest = PRESETS[preset]
+    for step in (lower, *rest) if line_ends else (lower, newline, *rest):
         text = step(text)
     return text
 
 
 def words(text: Column) -> Column:
-    """Non-empty words of a cleaned text."""
-    return F.filter(F.split(text, WHITE_SPACE), lambda word: word != "")
+    """Words of a cleaned text; white space at an end leaves an empty word there."""
+    return F.split(text, WHITE_SPACE)
 
 
 def drop_stop_words(word_array: Column, stop_words: Sequence[str]) -> Column:
@@ -82,10 +87,10 @@ def normalize_text(
 
     With ``stop_words`` or ``stem`` the text is rebuilt from its words.
     """
-    text = clean_text(text, preset)
     if not stop_words and not stem:
-        return collapse_white_space(text)
-    return F.array_join(word_list(text, stop_words, stem), " ")
+        return collapse_white_space(clean_text(text, preset))
+    found = word_list(clean_text(text, preset, line_ends=True), stop_words, stem)
+    return F.array_join(F.filter(found, lambda word: word != ""), " ")
 
 
 def word_list(text: Column, stop_words: Sequence[str] | None = None, stem: bool = False) -> Column:
@@ -107,5 +112,5 @@ def tokens(
     min_length: int = 3,
 ) -> Column:
     """Words of ``min_length`` or more characters of the normalised text."""
-    found = word_list(clean_text(text, preset), stop_words, stem)
+    found = word_list(clean_text(text, preset, line_ends=True), stop_words, stem)
     return F.filter(found, lambda word: F.length(word) >= min_length)

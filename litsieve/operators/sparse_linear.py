@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.operators.metrics import class_counts
+from litsieve.session import compact
 
 # The shape of the penalty and the candidate penalties.
 SCAD_A = 3.7
@@ -44,9 +45,9 @@ def tfidf_vectors(tokens: DataFrame, terms: Sequence[str], idf: Sequence[float])
     return product.transform(shared).drop("tokens", "tf", "share", "tf_share")
 
 
-def scad_fit(rows: DataFrame, lam: float, steps: int = 3, max_iter: int = 200):
+def scad_fit(rows: DataFrame, lam: float, steps: int = 3, max_iter: int = 100):
     """(column weights, last model) on (raw, label, weight), starting from a ridge fit."""
-    common = dict(labelCol="label", weightCol="weight", standardization=False, maxIter=max_iter)
+    common = dict(labelCol="label", weightCol="weight", standardization=False, maxIter=max_iter, tol=1e-3)
     model = LogisticRegression(featuresCol="raw", elasticNetParam=0.0, regParam=lam, **common).fit(rows)
     weight = np.ones(model.numFeatures)
     for _ in range(steps):
@@ -71,7 +72,7 @@ def scad_path(vectors: DataFrame, train: Column, lambdas: Sequence[float] = LAMB
     labelled = scaled.filter(train)
     sizes = {r["flag"]: r["n"] for r in class_counts(labelled).collect()}
     smallest = min(sizes.values())
-    cached = labelled.select(
+    cached = compact(labelled, sum(sizes.values())).select(
         "raw",
         F.col("flag").cast("double").alias("label"),
         F.when(F.col("flag"), smallest / sizes.get(True, 1))

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.keys import FOLD_SEED
 from litsieve.operators.split import fold_column
-from litsieve.session import ship_package
+from litsieve.session import compact, ship_package
 
 COMPONENTS = 256
 PARALLELISM = 8
+TOLERANCE = 1e-3  # the stopping tolerance of the usual SVM libraries
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,7 @@ def _classifier(cost: float, total_weight: float, max_iter: int) -> LinearSVC:
         regParam=1.0 / (cost * total_weight),
         standardization=False,
         maxIter=max_iter,
+        tol=TOLERANCE,
     )
 
 
@@ -111,7 +113,7 @@ def svm_predictions(
     points: Sequence[Mapping[str, float]],
     train: Column,
     components: int = COMPONENTS,
-    max_iter: int = 50,
+    max_iter: int = 30,
     seed: int = 42,
 ) -> DataFrame:
     """``vectors`` columns + cost, gamma, predicted for each point of ``points``.
@@ -132,7 +134,7 @@ def svm_predictions(
         project = fourier_features(scaling, gamma, components, seed)
         features = array_to_vector(project("idx", "val")).alias("features")
         costs = [p["cost"] for p in points if p["gamma"] == gamma]
-        cached = rows.select(features, label, "weight").persist()
+        cached = compact(rows, sum(sizes.values())).select(features, label, "weight").persist()
         cached.count()
         fit = lambda cost: _classifier(cost, total_weight, max_iter).fit(cached)
         with ThreadPool(min(PARALLELISM, len(costs))) as pool:
@@ -166,18 +168,18 @@ def svm_grid(
     costs: Sequence[float] = (2.0, 4.0, 8.0, 16.0),
     folds: int = 10,
     components: int = COMPONENTS,
-    max_iter: int = 50,
+    max_iter: int = 30,
     seed: int = 42,
 ) -> DataFrame:
     """Cross-validated error per (gamma, cost): one row per grid point."""
     spark = vectors.sparkSession
     scaling = fit_scaling(vectors, n_features)
-    rows, total_weight, _ = _weighted(vectors, F.lit(True))
+    rows, total_weight, sizes = _weighted(vectors, F.lit(True))
     total_weight *= (folds - 1) / folds
     result = []
     for gamma in gammas:
         project = fourier_features(scaling, gamma, components, seed)
-        cached = rows.select(
+        cached = compact(rows, sum(sizes.values())).select(
             array_to_vector(project("idx", "val")).alias("features"),
             F.col("flag").cast("double").alias("label"),
             "weight",

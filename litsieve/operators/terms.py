@@ -29,10 +29,11 @@ def term_counts(clean: DataFrame, keep: Sequence[str] = (), **token_options) ->
     partitioned by ``doc_id``.
     """
     found = clean.select("doc_id", *keep, tokens(F.col("text"), **token_options).alias("tokens"))
-    exploded = found.select(
-        "doc_id", *keep, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")
-    )
-    return exploded.groupBy("doc_id", *keep, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the total is taken before the tokens are exploded, so the array itself is not copied to
+    # every row; the outer form keeps Spark from adding a filter that would normalise twice
+    sized = found.select("doc_id", *keep, F.size("tokens").alias("n_tokens"), "tokens")
+    exploded = sized.select("doc_id", *keep, "n_tokens", F.explode_outer("tokens").alias("term"))
+    return exploded.filter(F.col("term").isNotNull()).groupBy("doc_id", *keep, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:

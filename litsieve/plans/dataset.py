@@ -35,11 +35,13 @@ class Dataset:
 
 
 def index(clean: DataFrame, written: bool = True, **token_options) -> Dataset:
-    """Term table of (doc_id, text, flag); written once when several passes follow."""
+    """Document and term tables of (doc_id, text, flag); written once when several passes follow."""
     marked = clean.withColumn("split", split_column()).withColumn("h", hash01(SHUFFLE_SEED))
     counts = term_counts(marked, keep=KEPT, **token_options)
     docs = marked.select("doc_id", *KEPT)
-    return Dataset(docs, materialize(counts, "terms") if written else counts)
+    if written:
+        return Dataset(materialize(docs, "documents"), materialize(counts, "terms"))
+    return Dataset(docs, counts)
 
 
 @dataclass

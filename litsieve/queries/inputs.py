@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.sources.tables import load_table
+from litsieve.sources.tables import load_table, spread
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return load_table(spark, folder, "documents", "doc_id").select("doc_id", "text")
+    scan = load_table(spark, folder, "documents").select("doc_id", "text")
+    return spread(scan, scan, "doc_id")
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text, flag): documents with a decision on their quality."""
     labels = load_table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("flag"))
-    return documents(spark, folder).join(labels, "doc_id")
+    scan = load_table(spark, folder, "documents").select("doc_id", "text")
+    return spread(scan.join(labels, "doc_id"), scan, "doc_id")
 
 
 def screening(spark: SparkSession, folder: str) -> DataFrame:
     """Screening table; the second screener includes what is not toxic."""
-    docs = load_table(spark, folder, "documents", "doc_id")
+    docs = load_table(spark, folder, "documents")
     labels = load_table(spark, folder, "labels")
     first, second = F.col("quality") == 1, F.col("toxic") == 0
     return docs.join(labels, "doc_id", "left").select(
@@ -39,7 +41,7 @@ def screening(spark: SparkSession, folder: str) -> DataFrame:
 
 def bibliography(spark: SparkSession, folder: str) -> DataFrame:
     """Bibliography table: language stands for the kind of paper, two sources are books."""
-    docs = load_table(spark, folder, "documents", "doc_id")
+    docs = load_table(spark, folder, "documents")
     empty = F.lit(None).cast("string")
     kind = (
         F.when(F.col("lang") == "en", "Article")
@@ -61,7 +63,8 @@ def bibliography(spark: SparkSession, folder: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Dense vectors in the sparse layout; labels 0-4 against 5-9."""
-    table = load_table(spark, folder, "embeddings", "vec_id")
+    scan = load_table(spark, folder, "embeddings")
+    table = spread(scan, scan, "vec_id")
     return table.select(
         F.col("vec_id").alias("doc_id"),
         (F.col("label") < 5).alias("flag"),

@@ -47,7 +47,8 @@ def normalize_text_tagged(spark, folder):
 
 @query
 def normalize_pages_tagged(spark, folder):
-    pages = tables.load_table(spark, folder, "pages", "page_id")
+    scan = tables.load_table(spark, folder, "pages").select("page_id", "html")
+    pages = tables.spread(scan, scan, "page_id")
     return pages.select("page_id", texts.normalize_text(F.col("html"), "tagged").alias("text"))
 
 
@@ -118,7 +119,8 @@ def class_term_frequency(spark, folder):
 
 @query
 def role_term_frequency(spark, folder):
-    turns = tables.load_table(spark, folder, "conversations", "conv_id")
+    scan = tables.load_table(spark, folder, "conversations")
+    turns = tables.spread(scan, scan, "conv_id")
     counts = terms.term_counts(
         turns.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "role", "text"), ("role",)
     )
@@ -140,7 +142,7 @@ def class_weights(spark, folder):
 
 
 def _ids(spark, folder):
-    return inputs.documents(spark, folder).select("doc_id")
+    return tables.load_table(spark, folder, "documents").select("doc_id")
 
 
 @query
@@ -240,7 +242,7 @@ def merged_agreement(spark, folder):
 
 @query
 def link_normalize(spark, folder):
-    manifest = tables.load_table(spark, folder, "pages", "page_id").select(
+    manifest = tables.load_table(spark, folder, "pages").select(
         "page_id", F.col("url").alias("hlink")
     )
     return links.normalize_links(
@@ -273,7 +275,7 @@ def bibliography_tsv(spark, folder):
 
 
 def _links(spark, folder):
-    return tables.load_table(spark, folder, "pages", "page_id").select(
+    return tables.load_table(spark, folder, "pages").select(
         (F.col("page_id") % 3 == 0).alias("flag"), F.col("url").alias("hlink")
     )
 

@@ -86,3 +86,11 @@ def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     adaptive execution splits skewed partitions.
     """
     return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def compact(df: DataFrame, n_rows: int, rows_per_partition: int = 20_000) -> DataFrame:
+    """Merges partitions that hold too few rows to be worth a task per training iteration.
+
+    Only narrows: a large table keeps all its partitions.
+    """
+    return df.coalesce(max(1, -(-n_rows // rows_per_partition)))

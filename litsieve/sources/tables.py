@@ -105,11 +105,16 @@ def cached_table(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def load_table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
-    """A parquet table. With ``key``, a table in fewer scan partitions than cores is spread
-    over ``key``; a large table has enough partitions and is not shuffled."""
-    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key and table.rdd.getNumPartitions() < cores:
-        table = table.repartition(cores, F.col(key))
-    return table
+def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
+    """Spreads ``df`` over ``key`` when the scan below it has fewer partitions than cores.
+
+    A large table has enough partitions already and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, F.col(key))
+    return df
