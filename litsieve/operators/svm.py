@@ -1,7 +1,11 @@
 """Class-weighted RBF SVM: random Fourier features (Rahimi & Recht 2007) + ``LinearSVC``.
 
 Spark has no kernel SVM; the feature map approximates the kernel and the linear fit scales
-with the rows.
+with the rows. Two solvers share the feature map, the class weights and the meaning of cost:
+
+- ``hinge``: ``LinearSVC``, tens of passes over the rows per fit; for single models and curves;
+- ``least_squares``: the least-squares SVM (Suykens & Vandewalle 1999) by normal equations, one
+  pass per fit; for grids of many fits.
 """
 
 from __future__ import annotations
@@ -13,8 +17,9 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,16 +100,27 @@ def _weighted(vectors: DataFrame, train: Column) -> tuple[DataFrame, float, dict
     return rows.withColumn("weight", weight), float(smallest * len(sizes)), sizes
 
 
-def _classifier(cost: float, total_weight: float, max_iter: int) -> LinearSVC:
-    return LinearSVC(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        regParam=1.0 / (cost * total_weight),
-        standardization=False,
-        maxIter=max_iter,
-        tol=TOLERANCE,
-    )
+def _classifier(solver: str, cost: float, total_weight: float, max_iter: int):
+    penalty = 1.0 / (cost * total_weight)
+    common = dict(featuresCol="features", weightCol="weight", regParam=penalty, standardization=False)
+    if solver == "least_squares":
+        return LinearRegression(labelCol="sign", solver="auto", **common)
+    return LinearSVC(labelCol="label", maxIter=max_iter, tol=TOLERANCE, **common)
+
+
+def _positive(solver: str, prediction: str) -> Column:
+    return F.col(prediction) >= 0 if solver == "least_squares" else F.col(prediction) == 1.0
+
+
+class _Accuracy(Evaluator):
+    """Share of rows on the right side of zero."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        right = ((F.col("prediction") >= 0) == F.col("flag")).cast("double")
+        return dataset.agg(F.coalesce(F.avg(right), F.lit(0.0))).first()[0]
+
+    def isLargerBetter(self) -> bool:
+        return True
 
 
 def svm_predictions(
@@ -115,6 +131,7 @@ def svm_predictions(
     components: int = COMPONENTS,
     max_iter: int = 30,
     seed: int = 42,
+    solver: str = "hinge",
 ) -> DataFrame:
     """``vectors`` columns + cost, gamma, predicted for each point of ``points``.
 
@@ -122,7 +139,8 @@ def svm_predictions(
     features, and one pass scores all of them. With one class in train nothing is fitted and
     the predictions are null.
     """
-    label = F.col("flag").cast("double").alias("label")
+    label = F.col("flag").cast("double")
+    labels = (label.alias("label"), (label * 2 - 1).alias("sign"))
     rows, total_weight, sizes = _weighted(vectors, train)
     keep = [c for c in vectors.columns if c not in ("idx", "val")]
     if len(sizes) < 2:
@@ -134,22 +152,24 @@ def svm_predictions(
         project = fourier_features(scaling, gamma, components, seed)
         features = array_to_vector(project("idx", "val")).alias("features")
         costs = [p["cost"] for p in points if p["gamma"] == gamma]
-        cached = compact(rows, sum(sizes.values())).select(features, label, "weight").persist()
+        cached = compact(rows, sum(sizes.values())).select(features, *labels, "weight").persist()
         cached.count()
-        fit = lambda cost: _classifier(cost, total_weight, max_iter).fit(cached)
+        fit = lambda cost: _classifier(solver, cost, total_weight, max_iter).fit(cached)
         with ThreadPool(min(PARALLELISM, len(costs))) as pool:
             models = pool.map(fit, costs)
         cached.unpersist()
         scored = vectors.select(*keep, features)
         for i, model in enumerate(models):
-            model.setPredictionCol(f"p{i}").setRawPredictionCol(f"r{i}")
-            scored = model.transform(scored).drop(f"r{i}")
+            model.setPredictionCol(f"p{i}")
+            if solver == "hinge":
+                model.setRawPredictionCol("")
+            scored = model.transform(scored)
         outcome = F.array(
             *(
                 F.struct(
                     F.lit(float(cost)).alias("cost"),
                     F.lit(float(gamma)).alias("gamma"),
-                    (F.col(f"p{i}") == 1.0).alias("predicted"),
+                    _positive(solver, f"p{i}").alias("predicted"),
                 )
                 for i, cost in enumerate(costs)
             )
@@ -168,10 +188,9 @@ def svm_grid(
     costs: Sequence[float] = (2.0, 4.0, 8.0, 16.0),
     folds: int = 10,
     components: int = COMPONENTS,
-    max_iter: int = 30,
     seed: int = 42,
 ) -> DataFrame:
-    """Cross-validated error per (gamma, cost): one row per grid point."""
+    """Cross-validated error per (gamma, cost), least-squares solver: one row per grid point."""
     spark = vectors.sparkSession
     scaling = fit_scaling(vectors, n_features)
     rows, total_weight, sizes = _weighted(vectors, F.lit(True))
@@ -181,16 +200,17 @@ def svm_grid(
         project = fourier_features(scaling, gamma, components, seed)
         cached = compact(rows, sum(sizes.values())).select(
             array_to_vector(project("idx", "val")).alias("features"),
-            F.col("flag").cast("double").alias("label"),
+            "flag",
+            (F.col("flag").cast("double") * 2 - 1).alias("sign"),
             "weight",
             fold_column(folds, FOLD_SEED).alias("fold"),
         ).persist()
-        svc = _classifier(costs[0], total_weight, max_iter)
-        grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * total_weight) for c in costs]).build()
+        model = _classifier("least_squares", costs[0], total_weight, 0)
+        penalties = [1.0 / (c * total_weight) for c in costs]
         search = CrossValidator(
-            estimator=svc,
-            estimatorParamMaps=grid,
-            evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label"),
+            estimator=model,
+            estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, penalties).build(),
+            evaluator=_Accuracy(),
             numFolds=folds,
             foldCol="fold",
             parallelism=PARALLELISM,
@@ -198,7 +218,7 @@ def svm_grid(
         found = search.fit(cached)
         cached.unpersist()
         result += [
-            (float(gamma), float(c), float(1.0 - a), float(s))
-            for c, a, s in zip(costs, found.avgMetrics, found.stdMetrics)
+            (float(gamma), float(c), float(1.0 - a), float(d))
+            for c, a, d in zip(costs, found.avgMetrics, found.stdMetrics)
         ]
     return spark.createDataFrame(result, "gamma double, cost double, error double, dispersion double")

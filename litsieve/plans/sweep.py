@@ -155,7 +155,7 @@ def cost_gamma_metrics(
 ) -> DataFrame:
     rows = vectors(data, level)
     points = [{"cost": c, "gamma": g} for g in gammas for c in costs]
-    found = svm_predictions(rows.rows, rows.n_features, points, is_train())
+    found = svm_predictions(rows.rows, rows.n_features, points, is_train(), solver="least_squares")
     return by_point(found, "cost", "gamma")
 
 
@@ -192,7 +192,7 @@ def tune_svm(
     costs: Sequence[float] = TUNE_COSTS,
     gammas: Sequence[float] = TUNE_GAMMAS,
     kfold: int = 0,
-    **options,
+    solver: str = "least_squares",
 ) -> DataFrame:
     """Mean validation metrics per (sparselevel, cost, gamma)."""
     points = [{"cost": c, "gamma": g} for g in gammas for c in costs]
@@ -201,7 +201,7 @@ def tune_svm(
         rows = vectors(data, s)
         folded = rows.rows.withColumn("fold", _fold_column(kfold))
         for f in _fold_numbers(kfold):
-            found = svm_predictions(folded, rows.n_features, points, F.col("fold") != f, **options)
+            found = svm_predictions(folded, rows.n_features, points, F.col("fold") != f, solver=solver)
             parts.append(found.filter(F.col("fold") == f).withColumn("sparselevel", F.lit(float(s))))
     found = reduce(DataFrame.unionByName, parts)
     cells = confusion_metrics(contingency(found, ("sparselevel", "cost", "gamma", "fold")))
