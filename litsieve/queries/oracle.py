@@ -283,7 +283,7 @@ SELECT level AS sparselevel, round(avg(sens), 6) AS sensitivity, round(avg(spec)
        round(avg((sens + spec) / 2), 6) AS balanced_accuracy FROM exact GROUP BY level"""
 ORACLE["best_params"] = f"""{_curve}
 SELECT x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics
-WHERE split = 'validate' AND sensitivity > 0.5 ORDER BY balanced_accuracy DESC, x LIMIT 1"""
+WHERE split = 'validate' AND sensitivity > 0.8 ORDER BY balanced_accuracy DESC, x LIMIT 1"""
 ORACLE["metrics_long"] = f"""{_curve}
 SELECT x AS xvar, split || '_tpr' AS variable, sensitivity AS value FROM metrics UNION ALL
 SELECT x, split || '_BAccuracy', balanced_accuracy FROM metrics UNION ALL

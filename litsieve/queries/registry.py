@@ -362,7 +362,7 @@ def nb_kfold_tuning(spark, folder):
 @query
 def best_params(spark, folder):
     curve = sweep.nb_feature_curve(_data(spark, folder)).filter(F.col("split") == "validate")
-    best = metrics.best_parameters(curve, ["xvar"], 0.5)
+    best = metrics.best_parameters(curve, ["xvar"])
     return metrics.rounded(best, ("sensitivity", "specificity", "balanced_accuracy"))
 
 

@@ -50,12 +50,13 @@ def _tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool, mul
 
 
 def read_screening(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Screening table with header; columns are taken by position.
+    """Screening table with header; columns are taken by position, empty texts stay empty.
 
     ``multi_line`` lets a quoted text hold line ends, but makes a file one task: pass False for
     files without such texts, which Spark then splits.
     """
-    return _tsv(spark, path, SCREENING, True, multi_line)
+    # the reader gives null for an empty field
+    return _tsv(spark, path, SCREENING, True, multi_line).na.fill("")
 
 
 def read_bibliography(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
