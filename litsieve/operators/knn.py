@@ -55,18 +55,25 @@ def _levels(k: int):
         d2 = _squared_distances(
             _dense(queries["idx"], queries["val"], columns), _dense(train["idx"], train["val"], columns)
         )
-        n_true, n_false = train["n_true"].to_numpy(), train["n_false"].to_numpy()
-        out = []
-        for row, q in enumerate(queries["q"]):
-            distance, group = np.unique(d2[row], return_inverse=True)
-            t = np.bincount(group, weights=n_true).astype("int64")
-            f = np.bincount(group, weights=n_false).astype("int64")
-            nearer = np.cumsum(t + f) - (t + f)
-            keep = nearer < k
-            out.append(
-                pd.DataFrame({"q": q, "d2": distance[keep], "n_true": t[keep], "n_false": f[keep]})
-            )
-        return pd.concat(out)
+        # every merged train row stands for one neighbour at least: the k-th smallest row bounds
+        # the k-th neighbour, and all rows at that distance stay
+        last = min(k, len(train)) - 1
+        bound = np.partition(d2, last, axis=1)[:, last]
+        row, column = np.nonzero(d2 <= bound[:, None])
+        distance = d2[row, column]
+        order = np.lexsort((distance, row))
+        row, column, distance = row[order], column[order], distance[order]
+        start = np.flatnonzero(
+            np.r_[True, (row[1:] != row[:-1]) | (distance[1:] != distance[:-1])]
+        )
+        return pd.DataFrame(
+            {
+                "q": queries["q"].to_numpy()[row[start]],
+                "d2": distance[start],
+                "n_true": np.add.reduceat(train["n_true"].to_numpy()[column], start),
+                "n_false": np.add.reduceat(train["n_false"].to_numpy()[column], start),
+            }
+        )
 
     return run
 

@@ -90,14 +90,17 @@ def series_view(long: DataFrame, view: str) -> DataFrame:
 
 
 def best_parameters(
-    metrics: DataFrame, params: Sequence[str], min_sensitivity: float = 0.8
+    metrics: DataFrame,
+    params: Sequence[str],
+    min_sensitivity: float = 0.8,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Highest balanced accuracy among points with enough sensitivity; ties: smallest parameters.
 
-    Empty when no point qualifies. One partial aggregate per task, one row shuffled.
+    Empty when no point qualifies; one row per group with ``by``.
     """
     good = metrics.filter(F.col("sensitivity") > min_sensitivity)
     order = F.struct(F.col("balanced_accuracy"), *(-F.col(p).cast("double") for p in params))
     row = F.struct(*params, "sensitivity", "specificity", "balanced_accuracy")
-    best = good.agg(F.max_by(row, order).alias("best")).filter(F.col("best").isNotNull())
-    return best.select("best.*")
+    best = good.groupBy(*by).agg(F.max_by(row, order).alias("best"))
+    return best.filter(F.col("best").isNotNull()).select(*by, "best.*")

@@ -282,8 +282,8 @@ exact AS (SELECT level, tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0)
 SELECT level AS sparselevel, round(avg(sens), 6) AS sensitivity, round(avg(spec), 6) AS specificity,
        round(avg((sens + spec) / 2), 6) AS balanced_accuracy FROM exact GROUP BY level"""
 ORACLE["best_params"] = f"""{_curve}
-SELECT x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics
-WHERE split = 'validate' AND sensitivity > 0.8 ORDER BY balanced_accuracy DESC, x LIMIT 1"""
+SELECT split, x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics WHERE sensitivity > 0.8
+QUALIFY row_number() OVER (PARTITION BY split ORDER BY balanced_accuracy DESC, x) = 1"""
 ORACLE["metrics_long"] = f"""{_curve}
 SELECT x AS xvar, split || '_tpr' AS variable, sensitivity AS value FROM metrics UNION ALL
 SELECT x, split || '_BAccuracy', balanced_accuracy FROM metrics UNION ALL

@@ -292,7 +292,9 @@ def load_bodies(spark, folder):
     """Bodies exist for the labelled documents only; the manifest names all documents."""
     path = scratch_path(spark, "bodies")
     own = inputs.labelled(spark, folder).select("doc_id", "text")
-    own.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    # tasks commit their files themselves: one move per file
+    commit = "mapreduce.fileoutputcommitter.algorithm.version"
+    own.repartition("doc_id").write.option(commit, "2").partitionBy("doc_id").text(path)
     found = bodies.read_bodies(spark, path)
     key = F.regexp_extract(bodies.path_key(F.col("path"), path), "^(doc_id=[0-9]+)/", 1)
     manifest = _ids(spark, folder).withColumn("key", F.concat(F.lit("doc_id="), F.col("doc_id").cast("string")))
@@ -361,8 +363,8 @@ def nb_kfold_tuning(spark, folder):
 
 @query
 def best_params(spark, folder):
-    curve = sweep.nb_feature_curve(_data(spark, folder)).filter(F.col("split") == "validate")
-    best = metrics.best_parameters(curve, ["xvar"])
+    curve = sweep.nb_feature_curve(_data(spark, folder))
+    best = metrics.best_parameters(curve, ["xvar"], by=["split"])
     return metrics.rounded(best, ("sensitivity", "specificity", "balanced_accuracy"))
 
 
