@@ -54,7 +54,7 @@ def merge_titles(screening: DataFrame, bibliography: DataFrame, expand: bool = F
     matched = screening.join(counted, "title", "left").withColumn(
         "copies", F.coalesce("copies", F.lit(1).cast("long"))
     )
-    only_right = counted.join(screening.select("title"), "title", "left_anti")
+    only_right = counted.join(screening.select("title").distinct(), "title", "left_anti")
     merged = matched.unionByName(only_right, allowMissingColumns=True)
     return expand_copies(merged) if expand else merged
 

@@ -54,14 +54,14 @@ class VectorSet:
 
 
 def indexed_vocabulary(data: Dataset, level: float) -> DataFrame:
-    """(term, df, idx), written. The vocabulary is bounded, so one task may number it."""
-    vocab = materialize(vocabulary(data.counts, data.n, level), "vocabulary")
+    """(term, df, idx). The vocabulary is bounded, so one task may number it."""
+    vocab = vocabulary(data.counts, data.n, level)
     return vocab.withColumn("idx", F.row_number().over(W.orderBy("term")) - 1)
 
 
 def vectors(data: Dataset, level: float) -> VectorSet:
     """Sparse tf-idf vectors after sparse-term removal, written for the passes of a fit."""
-    vocab = materialize(indexed_vocabulary(data, level), "vocabulary-index")
+    vocab = materialize(indexed_vocabulary(data, level), "vocabulary")
     weights = weigh(data.counts.select("doc_id", "n_tokens", "term", "tf"), small_side(vocab), data.n)
     rows = (
         data.docs.join(document_vectors(weights), "doc_id", "left")
