@@ -129,7 +129,7 @@ def svm_predictions(
     points: Sequence[Mapping[str, float]],
     train: Column,
     components: int = COMPONENTS,
-    max_iter: int = 30,
+    max_iter: int = 100,
     seed: int = 42,
     solver: str = "hinge",
 ) -> DataFrame:

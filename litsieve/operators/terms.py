@@ -31,7 +31,7 @@ def term_counts(clean: DataFrame, keep: Sequence[str] = (), **token_options) ->
     found = clean.select("doc_id", *keep, tokens(F.col("text"), **token_options).alias("tokens"))
     # the total is taken before the tokens are exploded, so the array itself is not copied to
     # every row; the outer form keeps Spark from adding a filter that would normalise twice
-    sized = found.select("doc_id", *keep, F.size("tokens").alias("n_tokens"), "tokens")
+    sized = found.select("doc_id", *keep, F.size("tokens").cast("long").alias("n_tokens"), "tokens")
     exploded = sized.select("doc_id", *keep, "n_tokens", F.explode_outer("tokens").alias("term"))
     return exploded.filter(F.col("term").isNotNull()).groupBy("doc_id", *keep, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -70,13 +70,13 @@ def present(weights: DataFrame) -> DataFrame:
     return weights.filter(F.col("weight") > 0)
 
 
-def class_term_frequency(counts: DataFrame, floors: dict, class_col: str = "flag") -> DataFrame:
-    """(class, term, freq) with a minimum frequency per class."""
+def class_term_frequency(counts: DataFrame, floors: dict, class_col: str = "flag", floor: int = 1) -> DataFrame:
+    """(class, term, freq) with a minimum frequency per class; ``floor`` holds for classes not named."""
     totals = counts.groupBy(class_col, "term").agg(F.sum("tf").alias("freq"))
-    keep = F.lit(False)
-    for value, floor in floors.items():
-        keep = keep | ((F.col(class_col) == F.lit(value)) & (F.col("freq") >= floor))
-    return totals.filter(keep)
+    least = F.lit(floor)
+    for value, own in floors.items():
+        least = F.when(F.col(class_col) == F.lit(value), F.lit(own)).otherwise(least)
+    return totals.filter(F.col("freq") >= least)
 
 
 def feature_summary(docs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ SELECT flag, term, CAST(sum(tf) AS BIGINT) AS freq FROM counts GROUP BY flag, te
 HAVING sum(tf) >= CASE WHEN flag THEN 20 ELSE 60 END"""
 ORACLE["role_term_frequency"] = f"""
 WITH turns AS (SELECT conv_id || ':' || turn AS doc_id, role, text FROM conversations), {_counts('turns', 'role')}
-SELECT role, term, CAST(sum(tf) AS BIGINT) AS freq FROM counts WHERE role IN ('user', 'assistant')
-GROUP BY role, term HAVING sum(tf) >= CASE WHEN role = 'user' THEN 20 ELSE 60 END"""
+SELECT role, term, CAST(sum(tf) AS BIGINT) AS freq FROM counts
+GROUP BY role, term HAVING sum(tf) >= CASE role WHEN 'user' THEN 20 WHEN 'assistant' THEN 60 ELSE 1 END"""
 ORACLE["class_counts"] = f"WITH {LABELLED} SELECT flag, count(*) AS n FROM clean GROUP BY flag"
 ORACLE["class_weights"] = f"""WITH {LABELLED},
 sizes AS (SELECT flag, count(*) AS n FROM clean WHERE {_split()} = 'train' GROUP BY flag)

@@ -15,9 +15,9 @@ from litsieve.operators import clean, links, metrics, split, terms
 from litsieve.operators.sparse_linear import scad_path, tfidf_vectors
 from litsieve.operators.svm import svm_grid
 from litsieve.plans import sweep
-from litsieve.plans.dataset import index, indexed_vocabulary, vectors
+from litsieve.plans.dataset import index, vectors
 from litsieve.queries import inputs
-from litsieve.session import scratch_path
+from litsieve.session import materialize, scratch_path, small_side
 from litsieve.sources import bodies, tables
 
 LEVEL = 0.95
@@ -91,7 +91,8 @@ def sparse_vocab(spark, folder):
 
 def _weights(spark, folder, level):
     data = index(inputs.labelled(spark, folder))
-    return terms.weigh(data.counts, indexed_vocabulary(data, level), data.n)
+    vocab = materialize(terms.vocabulary(data.counts, data.n, level), "vocabulary")
+    return terms.weigh(data.counts, small_side(vocab), data.n)
 
 
 @query
@@ -303,7 +304,7 @@ def load_bodies(spark, folder):
 
 @query
 def long_bodies(spark, folder):
-    return clean.long_bodies(inputs.documents(spark, folder)).select("doc_id", F.length("text").alias("n"))
+    return clean.long_bodies(inputs.documents(spark, folder)).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @query

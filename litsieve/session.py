@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,8 +13,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A broadcast table may hold at most this many rows (checked, never assumed).
-BROADCAST_ROWS = 1_000_000
+#: A broadcast table may hold at most this many bytes (rows times row width; checked, never assumed).
+BROADCAST_BYTES = 32 << 20
+#: Assumed bytes of a value of variable length; fixed types count by their width.
+_WIDTH = {"boolean": 1, "byte": 1, "short": 2, "int": 4, "float": 4, "long": 8, "double": 8, "date": 4, "timestamp": 8}
 
 
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -34,7 +38,9 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
 
 @functools.cache
 def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="litsieve-")
+    folder = tempfile.mkdtemp(prefix="litsieve-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -79,18 +85,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def row_width(table: DataFrame, text_width: int = 32) -> int:
+    """Bytes of a row, with ``text_width`` for a value without a fixed width."""
+    return 8 + sum(_WIDTH.get(field.dataType.typeName(), text_width) for field in table.schema)
+
+
+def small_side(table: DataFrame, max_bytes: int = BROADCAST_BYTES, text_width: int = 32) -> DataFrame:
     """Hint a broadcast for a written table when its row count (from the footers) allows it.
 
-    Above ``max_rows`` the table is returned as it is: Spark then shuffles the join, and
+    Above ``max_bytes`` the table is returned as it is: Spark then shuffles the join, and
     adaptive execution splits skewed partitions.
     """
-    return F.broadcast(table) if table.count() <= max_rows else table
+    return F.broadcast(table) if table.count() * row_width(table, text_width) <= max_bytes else table
 
 
 def compact(df: DataFrame, n_rows: int, rows_per_partition: int = 20_000) -> DataFrame:
     """Merges partitions that hold too few rows to be worth a task per training iteration.
 
-    Only narrows: a large table keeps all its partitions.
+    Only narrows: a large table keeps all its partitions, a small one keeps a task per core.
     """
-    return df.coalesce(max(1, -(-n_rows // rows_per_partition)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, min(cores, n_rows), -(-n_rows // rows_per_partition)))

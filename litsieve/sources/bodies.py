@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(path, text), one row per file."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files.select(file_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+
+
+def file_path(encoded: Column) -> Column:
+    """Spark names files by percent-encoded paths; a plus sign in them stands for itself."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def path_key(link: Column, root: str) -> Column:
@@ -24,6 +29,6 @@ def load_bodies(manifest: DataFrame, bodies: DataFrame, separator: str = "") ->
     Lines are joined with ``separator``. The default glues words across line ends; a space is
     the better choice for new work. A missing file gives an empty text.
     """
-    joined = F.regexp_replace(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n", separator)
+    joined = F.regexp_replace(F.regexp_replace("text", r"(\r?\n|\r)$", ""), r"\r?\n|\r", separator)
     texts = bodies.select("key", joined.alias("text"))
     return manifest.join(texts, "key", "left").withColumn("text", F.coalesce("text", F.lit("")))
