@@ -4,13 +4,14 @@ Documents are range-partitioned and sorted by id; each task encodes its document
 id to each, packs the stream of ids into sequences of ``length`` and writes them to one Arrow file (IPC
 file format) of record batches whose columns have fixed widths:
 
-    ids   fixed_size_list<uint32>[length]   the ids, padded with 0 at the end of a file
-    mask  fixed_size_list<uint8>[length]    1 for an id, 0 for padding
+    ids   fixed_size_list<uint16>[length]   the ids, padded with 0 at the end of a file (uint32 for
+                                            vocabularies of more than 65,536)
+    mask  fixed_size_list<bool>[length]     true for an id, false for padding; a bit each
     docs  list<struct<key, at, n, last>>    the pieces of documents in the sequence: id, place, number of
                                             ids, and whether the document ends here
 
-Sequence k of a file is row k % ``BATCH_ROWS`` of batch k // ``BATCH_ROWS``; a memory map gives its ids and
-mask as views without a copy. A table written by Spark lists the files with their sequences, ids
+Sequence k of a file is row k % ``BATCH_ROWS`` of batch k // ``BATCH_ROWS``; a memory map gives both as Arrow
+arrays without a copy, and the ids as a numpy view. A table written by Spark lists the files with their sequences, ids
 and documents. A document never spans two files.
 
 A task writes under a name of its own attempt and moves the file when it is whole, so a lost executor
@@ -23,6 +24,7 @@ by text. Extra columns are ignored. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -41,66 +43,91 @@ LENGTH = 2048
 #: Sequences of a record batch: 2 MB of ids.
 BATCH_ROWS = 256
 #: Distinct words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 500_000
-_SPLIT = 4 << 20
-_SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+REMEMBERED = 1_000_000
+_SPLIT = 8 << 20
+#: Letters of ASCII and Latin-1, then printable ASCII marks without the apostrophe.
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class WordEncoder:
     """Ids of texts, by their words.
 
     The tokenizer never joins what white space separates, so a text's ids are those of its words in
-    turn, and each distinct word is encoded once. A word of ASCII letters, or such letters
-    followed by ASCII marks without an apostrophe, is one or two units of the tokenizer's
-    own splitting and goes to its merge table directly; any other goes through the whole tokenizer.
+    turn, and each distinct word is encoded once. A word of ASCII or Latin-1 letters, with or
+    without ASCII marks behind, is one or two units of the tokenizer's own splitting; these are
+    lower-cased, written in its byte letters and go to its merge table directly. Any other word (digits,
+    apostrophes, other scripts, combining marks) goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.unit = lambda text: [t.id for t in self.tokenizer.model.tokenize(text)]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-
-    def _unit(self, text: str) -> tuple[int, ...]:
-        if text and text not in self.units:
-            self.units[text] = tuple(self.unit(text))
-        return self.units[text] if text else ()
-
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each of some distinct words."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known, self.units = {}, {}
-        found = {w: self.known.get(w) for w in words}
+        letters = byte_letters()
+        self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.units: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        if len(self.units) > REMEMBERED:
+            self.units = {}
+        self.flat, self.heads, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _unit(self, text: str) -> list[int]:
+        found = self.units.get(text)
+        if found is None:
+            written = text if text.isascii() else "".join([self.letters[c] for c in text])
+            found = self.units[text] = [t.id for t in self.tokenizer.model.tokenize(written)]
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        ids: list[list[int] | None] = []
         rest = []
         for word in words:
-            if found[word] is None:
-                if simple := _SIMPLE.fullmatch(word):
-                    found[word] = self._unit(simple[1].lower()) + self._unit(simple[2])
-                else:
-                    rest.append(word)
-        for word, encoded in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            found[word] = tuple(encoded.ids)
-        self.known.update(found)
-        return [found[w] for w in words]
+            if simple := _SIMPLE.fullmatch(word):
+                letters, marks = simple.groups()
+                ids.append(self._unit(letters.lower()) + self._unit(marks) if marks else self._unit(letters.lower()))
+            else:
+                rest.append(len(ids))
+                ids.append(None)
+        for at, found in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[at] = found.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self.heads = np.concatenate([self.heads, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each), with ``end_id`` after each text."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        table = [*self._words(distinct), (end_id,)]
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.fromiter((i for ids in table for i in ids), np.uint32, int(sizes.sum()))
-        heads = np.cumsum(sizes) - sizes
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            new = distinct
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         # the end id is one more word behind the words of each text
+        sizes, heads = np.append(self.sizes[place], 1), np.append(self.heads[place], len(self.flat))
         ends = np.asarray(split.offsets)[1:] - np.asarray(split.offsets)[0]
-        codes = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(table) - 1)
+        codes = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(distinct))
         own = sizes[codes]
-        before = np.cumsum(own) - own
-        ids = flat[np.repeat(heads[codes] - before, own) + np.arange(int(own.sum()))]
         total = np.concatenate([[0], np.cumsum(own)])
+        places = np.arange(total[-1])
+        places += np.repeat(heads[codes] - total[:-1], own)
+        ids = np.append(self.flat, np.uint32(end_id))[places]
         bounds = total[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
         return ids, np.diff(bounds)
 
@@ -119,10 +146,17 @@ def _filesystem(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def file_schema(id_type: pa.DataType, length: int) -> pa.Schema:
+def id_width(tokenizer: str) -> pa.DataType:
+    """Two bytes where they hold every id of the vocabulary and the end id, else four."""
+    from tokenizers import Tokenizer
+
+    return pa.uint16() if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else pa.uint32()
+
+
+def file_schema(id_type: pa.DataType, length: int, width: pa.DataType) -> pa.Schema:
     piece = pa.struct([("key", id_type), ("at", pa.int32()), ("n", pa.int32()), ("last", pa.bool_())])
     return pa.schema([
-        ("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)), ("docs", pa.list_(piece)),
+        ("ids", pa.list_(width, length)), ("mask", pa.list_(pa.bool_(), length)), ("docs", pa.list_(piece)),
     ])
 
 
@@ -132,11 +166,12 @@ class SequenceWriter:
     def __init__(self, sink, schema: pa.Schema, length: int) -> None:
         self.out = pa.ipc.new_file(sink, schema)
         self.schema, self.length, self.held = schema, length, []
+        self.dtype = schema.field("ids").type.value_type.to_pandas_dtype()
         self.pieces: list[list[dict]] = [[]]
         self.fill = self.sequences = self.tokens = self.docs = 0
 
     def add(self, keys: list, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.held.append(ids)
+        self.held.append(ids.astype(self.dtype))
         for key, size in zip(keys, sizes.tolist(), strict=True):
             left = size
             while left:
@@ -156,12 +191,11 @@ class SequenceWriter:
             self._write(BATCH_ROWS)
 
     def _write(self, rows: int) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
         size = rows * self.length
         now, self.held = ids[:size], [ids[size:]]
-        mask = np.zeros(size, np.uint8)
-        mask[: len(now)] = 1
-        now = np.concatenate([now, np.zeros(size - len(now), np.uint32)])
+        mask = np.arange(size) < len(now)
+        now = np.concatenate([now, np.zeros(size - len(now), self.dtype)])
         fixed = lambda values: pa.FixedSizeListArray.from_arrays(pa.array(values), self.length)
         docs = pa.array(self.pieces[:rows], self.schema.field("docs").type)
         self.out.write_batch(pa.RecordBatch.from_arrays([fixed(now), fixed(mask), docs], schema=self.schema))
@@ -179,8 +213,7 @@ class SequenceWriter:
 _MANIFEST = "part int, file string, sequences long, n_tokens long, n_docs long"
 
 
-def _writer(root: str, tokenizer: str, end_id: int, length: int, id_type: pa.DataType):
-    schema = file_schema(id_type, length)
+def _writer(root: str, tokenizer: str, end_id: int, length: int, schema: pa.Schema):
 
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -216,8 +249,9 @@ def write_tokens(
     root = path or scratch_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    id_type = _id_type(rows)
-    manifest = ordered.mapInArrow(_writer(root, tokenizer, end_id, length, id_type), _MANIFEST)
+    width = pa.uint32() if end_id >= 1 << 16 else id_width(tokenizer)
+    schema = file_schema(_id_type(rows), length, width)
+    manifest = ordered.mapInArrow(_writer(root, tokenizer, end_id, length, schema), _MANIFEST)
     return root, materialize(manifest, "files")
 
 
@@ -270,10 +304,9 @@ def read_documents(spark: SparkSession, root: str, files: DataFrame, id_type: st
     return spread.mapInArrow(_reader(root, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
 
 
-def sequence(root: str, file: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of one sequence of a local file, as views of its memory map."""
+def sequence(root: str, file: str, number: int) -> tuple[pa.Array, pa.Array]:
+    """(ids, mask) of one sequence of a local file, as slices of its memory map."""
     opened = pa.ipc.open_file(pa.memory_map(f"{_filesystem(root)[1]}/{file}"))
     batch = opened.get_batch(number // BATCH_ROWS)
     row, length = number % BATCH_ROWS, batch.schema.field(0).type.list_size
-    cut = slice(row * length, (row + 1) * length)
-    return batch.column(0).values.to_numpy()[cut], batch.column(1).values.to_numpy()[cut]
+    return tuple(batch.column(k).values.slice(row * length, length) for k in (0, 1))
