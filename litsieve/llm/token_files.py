@@ -24,9 +24,9 @@ by text. Extra columns are ignored. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +42,10 @@ from litsieve.session import materialize, scratch_path, ship_package
 LENGTH = 2048
 #: Sequences of a record batch: 2 MB of ids.
 BATCH_ROWS = 256
-#: Distinct words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
-_SPLIT = 8 << 20
+#: Distinct words, and units of words, that a generation of a worker's memory holds (about 200 bytes each).
+#: Two generations are kept; what was not used during a whole one is forgotten.
+REMEMBERED = 250_000
+_SPLIT = 4 << 20
 #: Letters of ASCII and Latin-1, then printable ASCII marks without the apostrophe.
 _SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -72,64 +73,63 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         letters = byte_letters()
         self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
-        self.units: dict[str, list[int]] = {}
-        self._forget()
+        #: Ids as the bytes of 32-bit integers: this generation and the one before.
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.units: list[dict[str, bytes]] = [{}, {}]
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        if len(self.units) > REMEMBERED:
-            self.units = {}
-        self.flat, self.heads, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _unit(self, text: str) -> list[int]:
-        found = self.units.get(text)
+    def _unit(self, text: str) -> bytes:
+        now, before = self.units
+        found = now.get(text)
         if found is None:
-            written = text if text.isascii() else "".join([self.letters[c] for c in text])
-            found = self.units[text] = [t.id for t in self.tokenizer.model.tokenize(written)]
+            found = before.get(text)
+            if found is None:
+                written = text if text.isascii() else "".join([self.letters[c] for c in text])
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+            now[text] = found
+            if len(now) >= REMEMBERED:
+                self.units = [{}, now]
         return found
 
-    def _learn(self, words: list[str]) -> None:
-        ids: list[list[int] | None] = []
+    def _encode_words(self, distinct: list[str]) -> list[bytes]:
+        now, before = self.words
+        ids: list[bytes | None] = []
         rest = []
-        for word in words:
-            if simple := _SIMPLE.fullmatch(word):
-                letters, marks = simple.groups()
-                ids.append(self._unit(letters.lower()) + self._unit(marks) if marks else self._unit(letters.lower()))
-            else:
-                rest.append(len(ids))
-                ids.append(None)
-        for at, found in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[at] = found.ids
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        self.heads = np.concatenate([self.heads, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        for word in distinct:
+            found = now.get(word)
+            if found is None:
+                found = before.get(word)
+                if found is None:
+                    if simple := _SIMPLE.fullmatch(word):
+                        letters, marks = simple.groups()
+                        found = self._unit(letters.lower()) + self._unit(marks) if marks else self._unit(letters.lower())
+                    else:
+                        rest.append(len(ids))
+                if found is not None:
+                    now[word] = found
+            ids.append(found)
+        for at, found in zip(rest, self.tokenizer.encode_batch([distinct[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[at] = now[distinct[at]] = array("I", found.ids).tobytes()
+        if len(now) >= REMEMBERED:
+            self.words = [{}, now]
+        return ids
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each), with ``end_id`` after each text."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self._forget()
-            new = distinct
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         # the end id is one more word behind the words of each text
-        sizes, heads = np.append(self.sizes[place], 1), np.append(self.heads[place], len(self.flat))
+        parts = [*self._encode_words(words.dictionary.to_pylist()), array("I", [end_id]).tobytes()]
+        flat = np.frombuffer(b"".join(parts), np.uint32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        heads = np.cumsum(sizes) - sizes
         ends = np.asarray(split.offsets)[1:] - np.asarray(split.offsets)[0]
-        codes = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(distinct))
+        codes = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(parts) - 1)
         own = sizes[codes]
         total = np.concatenate([[0], np.cumsum(own)])
         places = np.arange(total[-1])
         places += np.repeat(heads[codes] - total[:-1], own)
-        ids = np.append(self.flat, np.uint32(end_id))[places]
         bounds = total[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
-        return ids, np.diff(bounds)
+        return flat[places], np.diff(bounds)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
