@@ -33,8 +33,9 @@ from litsieve.llm import arrays
 from litsieve.llm.components import connected_components
 from litsieve.session import materialize, ship_package, small_side
 
-#: Coordinates of a point.
+#: Coordinates of a point, and of the finer point that a pair is tried on before its sets are compared.
 GROUPS = 64
+FINE = 1024
 #: Points of a box, boxes of a box one level up.
 FANOUT = 32
 #: Rows of a block of a subtree.
@@ -151,7 +152,7 @@ def _points(n: int, num: int, den: int, bitmap, bits: int, schema: pa.Schema):
             rows, hashes = ngram_sets(batch, 1, n)
             sizes = np.bincount(rows, minlength=count)
             first = np.cumsum(sizes) - sizes
-            grid = np.bincount(rows * GROUPS + (hashes >> np.uint64(58)).astype(np.int64), minlength=count * GROUPS).reshape(count, GROUPS)
+            grid = counts_of(rows, hashes, count, GROUPS)
             a, b = _cells(hashes, bits)
             order = np.lexsort((hashes, hot[a] & hot[b], rows))
             ranked = hashes[order]
@@ -169,15 +170,21 @@ def _points(n: int, num: int, den: int, bitmap, bits: int, schema: pa.Schema):
     return run
 
 
+def counts_of(rows: np.ndarray, hashes: np.ndarray, n_rows: int, groups: int) -> np.ndarray:
+    """(row, group) counts; the top bits of a hash are its group, so a finer grid splits each group."""
+    group = (hashes >> np.uint64(65 - groups.bit_length())).astype(np.int64)
+    return np.bincount(rows * groups + group, minlength=n_rows * groups).reshape(n_rows, groups)
+
+
 def pack(counts: np.ndarray) -> bytes:
     """One byte for a count where all fit, else four."""
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def unpack(points: list[bytes]) -> np.ndarray:
-    if all(len(p) == GROUPS for p in points):
-        return np.frombuffer(b"".join(points), "u1").reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<u4").astype(np.uint32) for p in points])
+def unpack(points: list[bytes], groups: int) -> np.ndarray:
+    if all(len(p) == groups for p in points):
+        return np.frombuffer(b"".join(points), "u1").reshape(-1, groups)
+    return np.stack([np.frombuffer(p, "u1" if len(p) == groups else "<u4").astype(np.uint32) for p in points])
 
 
 def reaches(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -242,14 +249,15 @@ def _children(boxes: np.ndarray, others: np.ndarray, n: int) -> tuple[np.ndarray
 # ---- pairs -----------------------------------------------------------------------------------
 
 
-def _bounded(num: int, den: int, schema: pa.Schema):
+def _bounded(num: int, den: int, groups: int, schema: pa.Schema):
     """Keeps the pairs (a, b, size and point of each) whose bound reaches the need."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, _PAIRS // 8):
-                part = batch.slice(at, _PAIRS // 8)
-                pa_, pb = (unpack(part.column(k).to_pylist()) for k in (4, 5))
+            step = (_PAIRS * 8) // groups
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                pa_, pb = (unpack(part.column(k).to_pylist(), groups) for k in (4, 5))
                 ok = reaches(pa_, pb, part.column(2).to_numpy(), part.column(3).to_numpy(), num, den)
                 yield arrays.batch_of(schema, a=part.column(0).filter(pa.array(ok)), b=part.column(1).filter(pa.array(ok)))
 
@@ -272,7 +280,7 @@ def _crossed(num: int, den: int, schema: pa.Schema):
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         # groups of a single box: all neighbours at a distance, side by side
         small = np.flatnonzero((counts <= FANOUT)[group])
-        points = unpack(rows.column("point").take(pa.array(small)).to_pylist()) if len(small) else None
+        points = unpack(rows.column("point").take(pa.array(small)).to_pylist(), GROUPS) if len(small) else None
         for step in range(1, FANOUT):
             x = np.flatnonzero(group[small[:-step]] == group[small[step:]])
             if not len(x):
@@ -284,7 +292,7 @@ def _crossed(num: int, den: int, schema: pa.Schema):
             found.append((i[ok], j[ok]))
         for k in np.flatnonzero(counts > FANOUT):
             own = np.flatnonzero(group == k)
-            points = unpack(rows.column("point").take(pa.array(own)).to_pylist())
+            points = unpack(rows.column("point").take(pa.array(own)).to_pylist(), GROUPS)
             left, right = np.flatnonzero(side[own] == 0), np.flatnonzero(side[own] == 1)
             part, size = component[own], sizes[own]
             if len(right) and len(left):
@@ -327,21 +335,36 @@ def _sets(n: int, schema: pa.Schema):
     def run(batches):
         for batch in arrays.slices(batches, "text"):
             rows, hashes = ngram_sets(batch, 1, n)
-            yield arrays.batch_of(schema, id=batch.column(0), grams=arrays.ragged(hashes.view(np.int64), rows, batch.num_rows, pa.int64()))
+            yield arrays.batch_of(
+                schema, id=batch.column(0), size=np.bincount(rows, minlength=batch.num_rows),
+                point=[pack(row) for row in counts_of(rows, hashes, batch.num_rows, FINE)],
+                grams=arrays.ragged(hashes.view(np.int64), rows, batch.num_rows, pa.int64()),
+            )
 
     return run
 
 
+def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, groups: int, id_type: str) -> DataFrame:
+    """The pairs (a, b) whose points admit the similarity."""
+    one = points.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("point").alias("point_a"))
+    two = points.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("point").alias("point_b"))
+    sized = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
+    both = pairs.join(one, "a").join(two, "b").filter(sized).select("a", "b", "size_a", "size_b", "point_a", "point_b")
+    ddl = f"a {id_type}, b {id_type}"
+    return both.mapInArrow(_bounded(num, den, groups, _arrow(ddl)), ddl).distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_type: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that are similar enough, by their sets."""
+    """The pairs (a, b) of ``pairs`` that are similar enough: by finer points, then by their sets."""
     named = pairs.select(F.col("a").alias("named")).unionByName(pairs.select(F.col("b").alias("named"))).distinct()
     ids = materialize(named, "ids")
-    ddl = f"id {id_type}, grams array<bigint>"
+    ddl = f"id {id_type}, size long, point binary, grams array<bigint>"
     texts = docs.join(small_side(ids), F.col("id") == F.col("named"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(n, _arrow(ddl)), ddl), "sets")
+    close = materialize(_within_bound(pairs, sets.select("id", "size", "point"), num, den, FINE, id_type), "close")
     one = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
     two = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    both = pairs.join(two, "b").join(one, "a")
+    both = close.join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
     union = (F.size("grams_a") + F.size("grams_b")).cast("long") - common
     return both.select("a", "b", (common * den >= union * num).alias("linked")).filter("linked").select("a", "b").distinct()
@@ -350,16 +373,6 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_t
 # ---- the join --------------------------------------------------------------------------------
 
 
-def _within_bound(pairs: DataFrame, points: DataFrame, num: int, den: int, id_type: str) -> DataFrame:
-    """The pairs (a, b) whose points admit the similarity."""
-    one = points.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("point").alias("point_a"))
-    two = points.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("point").alias("point_b"))
-    sized = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
-    both = pairs.join(one, "a").join(two, "b").filter(sized).select("a", "b", "size_a", "size_b", "point_a", "point_b")
-    ddl = f"a {id_type}, b {id_type}"
-    return both.mapInArrow(_bounded(num, den, _arrow(ddl)), ddl).distinct()
-
-
 def jaccard_links(
     docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -392,7 +405,7 @@ def jaccard_links(
     heads = subtrees.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", "id")).getField("id").alias("head"))
     star = subtrees.join(heads, "key").filter("id <> head")
     star = star.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    near = materialize(_within_bound(star, known, num, den, id_type), "near")
+    near = materialize(_within_bound(star, known, num, den, GROUPS, id_type), "near")
     links = materialize(verified(texts, near, n, num, den, id_type), "links")
 
     # what is then still apart within a subtree, in blocks
