@@ -40,6 +40,8 @@ FINE = 1024
 FANOUT = 32
 #: Rows of a block of a subtree.
 BLOCK = 4096
+#: Bytes (rows times width) that may be broadcast here; the hashed form takes about five times as much.
+SMALL = 8 << 20
 #: Counters of a row of the sketch, as a power of 2.
 SKETCH_BITS = 20
 _SKETCH_PART = 1 << 14
@@ -359,7 +361,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_t
     named = pairs.select(F.col("a").alias("named")).unionByName(pairs.select(F.col("b").alias("named"))).distinct()
     ids = materialize(named, "ids")
     ddl = f"id {id_type}, size long, point binary, grams array<bigint>"
-    texts = docs.join(small_side(ids), F.col("id") == F.col("named"), "left_semi")
+    texts = docs.join(small_side(ids, SMALL), F.col("id") == F.col("named"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(n, _arrow(ddl)), ddl), "sets")
     close = materialize(_within_bound(pairs, sets.select("id", "size", "point"), num, den, FINE, id_type), "close")
     one = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
@@ -396,7 +398,7 @@ def jaccard_links(
     known = materialize(chosen.select("id", "size", "point", "keys"), "chosen")
     listed = known.select(F.explode("keys").alias("key"), "id")
     counted = materialize(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counted")
-    subtrees = materialize(listed.join(small_side(counted), "key"), "subtrees")
+    subtrees = materialize(listed.join(small_side(counted, SMALL), "key"), "subtrees")
     known = known.select("id", "size", "point")
     texts = rows.filter("id IS NOT NULL")
 
@@ -414,7 +416,7 @@ def jaccard_links(
     labelled = materialize(labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
     apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     apart = materialize(apart.filter("low <> high").select("key"), "apart")
-    rest = labelled.join(small_side(apart), "key").join(known, "id")
+    rest = labelled.join(small_side(apart, SMALL), "key").join(known, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -430,7 +432,7 @@ def jaccard_links(
 
     copied = classes.filter("copies > 1").select(*(F.col(c).alias(f"c_{c}") for c in same), "rep")
     match = (F.col("size") == F.col("c_size")) & (F.col("p1") == F.col("c_p1")) & (F.col("p2") == F.col("c_p2"))
-    members = points.select("id", *same).join(small_side(copied), match & F.col("id").isNotNull(), "left")
+    members = points.select("id", *same).join(small_side(copied, SMALL), match & F.col("id").isNotNull(), "left")
     return members.select("id", "size", F.coalesce("rep", "id").alias("rep")), links.unionByName(more)
 
 
@@ -440,5 +442,5 @@ def jaccard_components(
     """(id, n_ngrams, component) of every row: the smallest id that its links lead to."""
     members, links = jaccard_links(docs, n, num, den, id_col, text_col)
     parts = materialize(connected_components(links), "components")
-    joined_ = members.join(small_side(parts), F.col("rep") == F.col("node"), "left")
+    joined_ = members.join(small_side(parts, SMALL), F.col("rep") == F.col("node"), "left")
     return joined_.select(F.col("id").alias(id_col), F.col("size").alias("n_ngrams"), F.coalesce("component", "rep").alias("component"))
