@@ -70,8 +70,26 @@ def ship_package() -> None:
     _ship(SparkSession.getActiveSession().sparkContext.applicationId)
 
 
+#: Scratch paths of this process, in the order in which they were named.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """Number of scratch paths that this process has named so far."""
+    return len(_MADE)
+
+
+def drop_scratch(spark: SparkSession, since: int, until: int) -> None:
+    """Removes this process's own scratch tables named between two marks; nothing may read them any more."""
+    for path in _MADE[since:until]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
