@@ -115,7 +115,7 @@ def _stem_word_lists(batch: pa.Array) -> pa.Array:
     lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
     ends = lengths.cumsum()
     offsets = pa.array([0, *ends.tolist()], pa.int32())
-    return pa.ListArray.from_arrays(offsets, _stem_values(batch.flatten()))
+    return pa.ListArray.from_arrays(offsets, _stem_values(batch.flatten()), mask=batch.is_null())
 
 
 def stem_word(word: Column) -> Column:

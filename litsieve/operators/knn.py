@@ -18,23 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litsieve.session import materialize, ship_package
+from litsieve.session import materialize, ship_package, small_side
 
+LEVELS = "q string, d2 double, n_true long, n_false long"
 DIGITS = 9  # squared distances are ranked after rounding, so that ties are stable
-MAX_PIVOTS = 256
 
 
 def _dense(idx: pd.Series, val: pd.Series, columns: np.ndarray) -> np.ndarray:
     out = np.zeros((len(idx), len(columns)))
     if len(columns):
-        for row, (i, v) in enumerate(zip(idx, val)):
-            out[row, np.searchsorted(columns, np.asarray(i, dtype=np.int64))] = v
+        rows = np.repeat(np.arange(len(idx)), idx.str.len().to_numpy(dtype=np.int64))
+        out[rows, np.searchsorted(columns, np.concatenate(idx.to_list()))] = np.concatenate(val.to_list())
     return out
 
 
 def _columns(*index_lists: pd.Series) -> np.ndarray:
-    parts = [np.asarray(i, dtype=np.int64) for s in index_lists for i in s]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+    parts = [i for s in index_lists for i in s.to_list()]
+    return np.unique(np.concatenate(parts)).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
 
 
 def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,18 +107,23 @@ def _assign(df: DataFrame, pivots: list[tuple[np.ndarray, np.ndarray]]) -> DataF
     return df.mapInPandas(distances, schema + ", pivot_d array<double>")
 
 
-def _meet(queries: DataFrame, train: DataFrame, k: int, chunks: int) -> DataFrame:
+def _meet(queries: DataFrame, train: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Distance levels for queries (block, q, idx, val) against train blocks.
 
-    A busy block serves its queries in chunks, each with its own copy of the block: both sides
-    of one group stay bounded by construction, wherever the queries crowd.
+    A block that many queries reach serves them in chunks, each with its own copy of the block;
+    a block is copied as often as its own queries need, and not at all without queries. Both
+    sides of one group stay bounded by construction, wherever the queries crowd.
     """
-    left = queries.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)))
-    right = train.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    needed = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("chunks")
+    # one row per block
+    chunks = small_side(materialize(queries.groupBy("block").agg(needed), "knn-chunks"))
+    left = queries.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks"))).drop("chunks")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    right = train.join(chunks, "block").withColumn("chunk", copies).drop("chunks")
     return (
         left.groupBy("block", "chunk")
         .cogroup(right.groupBy("block", "chunk"))
-        .applyInPandas(_levels(k), "q string, d2 double, n_true long, n_false long")
+        .applyInPandas(_levels(k), LEVELS)
     )
 
 
@@ -143,14 +148,10 @@ def neighbour_levels(
     )
     distinct = keyed.groupBy("q").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
     n_train = votes.count()
-    chunks = max(1, math.ceil(keyed.count() / block_rows))
-    n_pivots = min(MAX_PIVOTS, math.ceil(n_train / block_rows))
-    if n_pivots <= 1:
-        found = _meet(
-            distinct.withColumn("block", F.lit("0")), votes.withColumn("block", F.lit("0")), k, chunks
-        )
+    if n_train:
+        found = _search(distinct, votes, k, math.ceil(2 * math.sqrt(n_train / block_rows)), block_rows)
     else:
-        found = _pruned(distinct, votes, k, chunks, n_pivots, block_rows)
+        found = query.sparkSession.createDataFrame([], LEVELS)
     merged = found.groupBy("q", "d2").agg(
         F.sum("n_true").alias("n_true"), F.sum("n_false").alias("n_false")
     )
@@ -160,7 +161,12 @@ def neighbour_levels(
     return levels, keyed.select("doc_id", "q")
 
 
-def _pruned(distinct, votes, k, chunks, n_pivots, block_rows) -> DataFrame:
+def _search(distinct, votes, k, n_pivots, block_rows) -> DataFrame:
+    """Two passes: a query meets one block of its own cell, then every other block in reach.
+
+    The number of pivots grows with the square root of the number of blocks, so pivots and
+    cells stay a small table while cells keep dividing the rows.
+    """
     chosen = votes.orderBy("q").limit(n_pivots).select("idx", "val").collect()
     pivots = [(np.array(r["idx"]), np.array(r["val"])) for r in chosen]
     home = F.array_position("pivot_d", F.array_min("pivot_d")).cast("int") - 1
@@ -168,7 +174,7 @@ def _pruned(distinct, votes, k, chunks, n_pivots, block_rows) -> DataFrame:
         _assign(votes, pivots).withColumn("cell", home).withColumn("r", F.array_min("pivot_d")).drop("pivot_d"),
         "knn-cells",
     )
-    # one row per cell: at most MAX_PIVOTS rows
+    # one row per cell, at most one cell per pivot
     cells = train.groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.min("r").alias("low"), F.max("r").alias("high")
     ).collect()
@@ -182,12 +188,17 @@ def _pruned(distinct, votes, k, chunks, n_pivots, block_rows) -> DataFrame:
     train = train.withColumn("block", block_name(F.col("cell"), salt)).select(
         "block", "idx", "val", "n_true", "n_false"
     )
-    queries = materialize(_assign(distinct, pivots).withColumn("cell", home), "knn-cells-query")
-    # first pass: one block of the own cell gives an upper bound of the k-th distance
-    first = queries.select(
-        "q", "idx", "val", block_name(F.col("cell"), F.pmod(F.xxhash64("q"), count_of[F.col("cell")].cast("long"))).alias("block")
+    # a query whose nearest pivot is home to no train row starts in the nearest cell that has some
+    filled = F.array(*(F.struct(F.col("pivot_d")[c].alias("d"), F.lit(c).alias("cell")) for c in n_blocks))
+    queries = materialize(
+        _assign(distinct, pivots)
+        .withColumn("cell", F.array_min(filled)["cell"])
+        .withColumn("own", block_name(F.col("cell"), F.pmod(F.xxhash64("q"), count_of[F.col("cell")].cast("long")))),
+        "knn-cells-query",
     )
-    near = _meet(first, train, k, chunks)
+    # first pass: one block of the own cell gives an upper bound of the k-th distance
+    first = queries.select("q", "idx", "val", F.col("own").alias("block"))
+    near = materialize(_meet(first, train, k, block_rows), "knn-near")
     upto = F.sum(F.col("n_true") + F.col("n_false")).over(W.partitionBy("q").orderBy("d2"))
     bound = (
         near.withColumn("upto", upto).filter(F.col("upto") >= k).groupBy("q").agg(F.min("d2").alias("bound"))
@@ -208,12 +219,14 @@ def _pruned(distinct, votes, k, chunks, n_pivots, block_rows) -> DataFrame:
     reachable = (
         queries.join(materialize(bound, "knn-bound"), "q", "left")
         .withColumn("limit", limit)
-        .select("q", "idx", "val", F.explode(F.filter(F.array(*options), lambda o: o["gap"] <= F.col("limit"))).alias("o"))
-        .select("q", "idx", "val", F.col("o.cell").alias("cell"))
+        .select("q", "idx", "val", "own", F.explode(F.filter(F.array(*options), lambda o: o["gap"] <= F.col("limit"))).alias("o"))
+        .select("q", "idx", "val", "own", F.col("o.cell").alias("cell"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), count_of[F.col("cell")] - 1)))
-        .select("q", "idx", "val", block_name(F.col("cell"), F.col("part")).alias("block"))
+        .select("q", "idx", "val", "own", block_name(F.col("cell"), F.col("part")).alias("block"))
+        .filter("block != own")
+        .drop("own")
     )
-    return _meet(reachable, train, k, chunks)
+    return near.unionByName(_meet(reachable, train, k, block_rows))
 
 
 def knn_votes(

@@ -317,6 +317,7 @@ distances AS (SELECT a.doc_id AS q, b.flag,
   LEFT JOIN dots ON dots.q = a.doc_id AND dots.t = b.doc_id WHERE b.split = 'train')"""
 _vote_columns = "doc_id, flag, split, k, votes_true, votes_false, round(probability, 6) AS probability, predicted"
 ORACLE["knn_predict"] = f"WITH {_neighbours(_text_distances, [3])} SELECT {_vote_columns} FROM predictions"
+ORACLE["knn_small_blocks"] = ORACLE["knn_predict"]
 ORACLE["knn_k_curve"] = f"""WITH {_neighbours(_text_distances, NEIGHBOURS)}, {_metrics('k, split')}
 SELECT CAST(k AS DOUBLE) AS xvar, * EXCLUDE (k) FROM metrics"""
 _dense_distances = f"""

@@ -394,6 +394,32 @@ def knn_predict(spark, folder):
     return _votes(sweep.knn_predictions(vectors(_data(spark, folder), LEVEL), [3]))
 
 
+@query
+def knn_small_blocks(spark, folder):
+    """As ``knn_predict``, with blocks so small that queries meet many cells and blocks."""
+    return _votes(sweep.knn_predictions(vectors(_data(spark, folder), LEVEL), [3], block_rows=32))
+
+
+@query
+def knn_feature_curve(spark, folder):
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "feature_curve", "kNN", values=(LEVEL, 0.9)))
+
+
+@query
+def svm_feature_curve(spark, folder):
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "feature_curve", "SVM", values=(0.92, 0.9)))
+
+
+@query
+def knn_learning_curve(spark, folder):
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "learning_curve", "kNN", values=(0.5, 1.0)))
+
+
+@query
+def svm_learning_curve(spark, folder):
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "learning_curve", "SVM", values=(0.5, 1.0)))
+
+
 @query
 def knn_k_curve(spark, folder):
     return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "k_curve", "kNN", level=LEVEL))

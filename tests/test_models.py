@@ -186,6 +186,11 @@ def test_knn_is_exact_for_any_blocks(spark, block_rows):
         assert {r["doc_id"]: (r["votes_true"], r["votes_false"]) for r in found if r["k"] == k} == expected
 
 
+def test_knn_without_train_rows(spark):
+    df = sparse_rows(spark, [(1, True, [1, 0]), (2, False, [0, 1])])
+    assert knn_votes(df, df.filter("doc_id > 5"), [1]).count() == 0
+
+
 def test_fourier_features_approximate_the_kernel(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((12, 5))

@@ -35,7 +35,7 @@ def rows(names, table):
     "name",
     [
         "normalize_text_tagged", "remove_stopwords", "term_counts", "presence", "split_exact", "papers_kept",
-        "link_normalize", "screening_tsv", "nb_predict", "nb_learning_curve", "knn_predict",
+        "link_normalize", "screening_tsv", "nb_predict", "nb_learning_curve", "knn_predict", "knn_small_blocks",
     ],
 )
 def test_equals_sql(spark, database, name):

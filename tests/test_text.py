@@ -72,3 +72,8 @@ def test_stemming_in_spark(spark):
     assert [r[0] for r in words.select(stem_word(F.col("w"))).collect()] == ["poni", None, "relat"]
     assert one(spark, "The ponies, agreed", normalize_text(F.col("text"), stem=True)) == "the poni agre"
     assert one(spark, "ponies cats", tokens(F.col("text"), stem=True)) == ["poni", "cat"]
+
+
+def test_stemming_keeps_null_texts(spark):
+    texts = spark.createDataFrame([("relational ponies",), (None,), ("",)], "text string")
+    assert [r[0] for r in texts.select(normalize_text(F.col("text"), stem=True)).collect()] == ["relat poni", None, ""]
