@@ -306,8 +306,10 @@ predictions AS (SELECT d.doc_id, d.flag, d.split, k, votes_true, votes_false,
   FROM docs d JOIN votes USING (doc_id))"""
 
 
-_text_distances = f"""{LABELLED}, {_counts()}, {_vocab(0.95)},
-docs AS (SELECT doc_id, flag, {_split()} AS split FROM clean),
+def _text_neighbours(level: float, upto: float = 1) -> str:
+    """CTEs up to ``distances``: terms from all rows, neighbours among the rows of a prefix."""
+    return f"""{LABELLED}, {_counts()}, {_vocab(level)},
+docs AS (SELECT doc_id, flag, {_split()} AS split FROM clean WHERE {_hash01(1)} < {_d(upto)}),
 norms AS (SELECT doc_id, sum(weight * weight) AS nn FROM weights GROUP BY doc_id),
 dots AS (SELECT a.doc_id AS q, b.doc_id AS t, sum(a.weight * b.weight) AS dot
          FROM weights a JOIN weights b USING (term) GROUP BY a.doc_id, b.doc_id),
@@ -315,11 +317,26 @@ distances AS (SELECT a.doc_id AS q, b.flag,
     round(greatest(coalesce(x.nn, 0) + coalesce(y.nn, 0) - 2 * coalesce(dot, 0), 0), 9) AS d2
   FROM docs a CROSS JOIN docs b LEFT JOIN norms x ON x.doc_id = a.doc_id LEFT JOIN norms y ON y.doc_id = b.doc_id
   LEFT JOIN dots ON dots.q = a.doc_id AND dots.t = b.doc_id WHERE b.split = 'train')"""
+
+
+_text_distances = _text_neighbours(0.95)
 _vote_columns = "doc_id, flag, split, k, votes_true, votes_false, round(probability, 6) AS probability, predicted"
 ORACLE["knn_predict"] = f"WITH {_neighbours(_text_distances, [3])} SELECT {_vote_columns} FROM predictions"
 ORACLE["knn_small_blocks"] = ORACLE["knn_predict"]
 ORACLE["knn_k_curve"] = f"""WITH {_neighbours(_text_distances, NEIGHBOURS)}, {_metrics('k, split')}
 SELECT CAST(k AS DOUBLE) AS xvar, * EXCLUDE (k) FROM metrics"""
+
+
+def _nearest(xvar: str, level: float, upto: float = 1) -> str:
+    """Metrics of one point of a curve with one neighbour."""
+    found = f"{_neighbours(_text_neighbours(level, upto), [1])}, {_metrics('k, split')}"
+    return f"SELECT * FROM (WITH {found} SELECT {xvar} AS xvar, * EXCLUDE (k) FROM metrics)"
+
+
+ORACLE["knn_feature_curve"] = " UNION ALL ".join(_nearest(_d(s), s) for s in (0.95, 0.9))
+ORACLE["knn_learning_curve"] = " UNION ALL ".join(
+    _nearest("(SELECT CAST(count(*) AS DOUBLE) FROM docs)", 0.92, f) for f in (0.5, 1.0)
+)
 _dense_distances = f"""
 docs AS (SELECT vec_id AS doc_id, label < 5 AS flag, {_split('vec_id')} AS split,
                 CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
