@@ -38,6 +38,11 @@ def is_train() -> Column:
     return F.col("split") == "train"
 
 
+def train_rows(data: Dataset) -> Dataset:
+    """The train rows alone, for tuning that must not see the rows it is judged on."""
+    return Dataset(data.docs.filter(is_train()), data.counts.filter(is_train()))
+
+
 def by_point(predictions: DataFrame, *params: str) -> DataFrame:
     """Metrics per parameter point and split."""
     return confusion_metrics(contingency(predictions, (*params, "split")))

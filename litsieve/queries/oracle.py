@@ -71,11 +71,13 @@ FROM documents"""
 LABELLED = "clean AS (SELECT d.doc_id, l.quality = 1 AS flag, d.text FROM documents d JOIN labels l USING (doc_id))"
 
 
-def _counts(source: str = "clean", keep: str = "flag") -> str:
+def _counts(source: str = "clean", keep: str = "flag", stopped: bool = False) -> str:
+    """CTEs up to ``counts``; ``stopped``: tagged texts without stop words."""
     cols = f"doc_id, {keep}" if keep else "doc_id"
+    words = f"AND term NOT IN ({_stop_words})" if stopped else ""
     return f"""
-tokens AS (SELECT {cols}, unnest(string_split({_plain('text')}, ' ')) AS term FROM {source}),
-grouped AS (SELECT {cols}, term, count(*) AS tf FROM tokens WHERE length(term) >= 3 GROUP BY ALL),
+tokens AS (SELECT {cols}, unnest(string_split({(_tagged if stopped else _plain)('text')}, ' ')) AS term FROM {source}),
+grouped AS (SELECT {cols}, term, count(*) AS tf FROM tokens WHERE length(term) >= 3 {words} GROUP BY ALL),
 counts AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS n_tokens FROM grouped)"""
 
 
@@ -214,11 +216,13 @@ sized AS (SELECT *, nullif(CAST(tp + fp + fn + tn AS DOUBLE), 0) AS n,
 metrics AS (SELECT {by}, tp, fp, fn, tn, {METRICS} FROM sized)"""
 
 
-def _bayes(variants: str, in_train: str, in_score: str, scope: str = "all") -> str:
+def _bayes(
+    variants: str, in_train: str, in_score: str, scope: str = "all", clean: str = LABELLED, stopped: bool = False
+) -> str:
     """CTEs up to ``predictions``; ``variants`` are rows of (v, level, x)."""
     df = "(n_true_docs + n_false_docs)" if scope == "train" else "f.df"
     n = "(s.n_true + s.n_false)" if scope == "train" else "n"
-    return f"""{LABELLED}, {_counts()},
+    return f"""{clean}, {_counts(stopped=stopped)},
 total AS (SELECT count(*) AS n FROM clean),
 freq AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
 docs AS (SELECT doc_id, flag, {_split()} AS split, {_hash01(1)} AS h,
@@ -272,17 +276,31 @@ _prefixes = _bayes(
 ORACLE["nb_learning_curve"] = f"""WITH {_prefixes}, {_metrics('x, split')},
 prefixes AS (SELECT x, CAST(count(*) AS DOUBLE) AS xvar FROM scored GROUP BY x)
 SELECT x AS fraction, xvar, m.* EXCLUDE (x) FROM metrics m JOIN prefixes USING (x)"""
-_folds = _bayes(
+_five = (
     _rows((i * 5 + f, s, f) for i, s in enumerate(TUNE_LEVELS) for f in range(5)),
     "fold <> CAST(x AS INTEGER)",
     "fold = CAST(x AS INTEGER)",
 )
+_folds = _bayes(*_five)
 ORACLE["nb_kfold_tuning"] = f"""WITH {_folds}, {_metrics('level, x')},
 exact AS (SELECT level, tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0) AS spec FROM cells)
 SELECT level AS sparselevel, round(avg(sens), 6) AS sensitivity, round(avg(spec), 6) AS specificity,
        round(avg((sens + spec) / 2), 6) AS balanced_accuracy FROM exact GROUP BY level"""
+TRAIN_ONLY = f"{LABELLED.removesuffix(')')} WHERE {_split()} = 'train')"
+_tuned = f"""WITH {_bayes(*_five, clean=TRAIN_ONLY)}, {_metrics('level, x')},
+exact AS (SELECT level, tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0) AS spec FROM cells),
+means AS (SELECT level, avg(sens) AS sens, round(avg((sens + spec) / 2), 9) AS middle FROM exact GROUP BY level)
+SELECT level AS best FROM means WHERE sens > 0.8 ORDER BY middle DESC, level LIMIT 1"""
+_tuned_levels = _bayes(_rows((i, s, s) for i, s in enumerate(TUNE_LEVELS)), "split = 'train'", "true")
+ORACLE["tuned_nb_holdout"] = f"""WITH {_tuned_levels}, {_metrics('x, split')}
+SELECT x AS xvar, * EXCLUDE (x, best) FROM metrics JOIN ({_tuned}) ON x = best WHERE split = 'test'"""
+ORACLE["term_counts_stopped"] = f"""WITH {_counts('documents', '', stopped=True)}
+SELECT doc_id, n_tokens, term, tf FROM counts"""
+_stopped = _bayes(_rows([(0, 0.95, 1)]), "split = 'train'", "true", stopped=True)
+ORACLE["nb_metrics_stopped"] = f"WITH {_stopped}, {_metrics('split')} SELECT * FROM metrics"
 ORACLE["best_params"] = f"""{_curve}
-SELECT split, x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics WHERE sensitivity > 0.8
+SELECT split, x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics
+WHERE sensitivity > 0.8 AND split = 'validate'
 QUALIFY row_number() OVER (PARTITION BY split ORDER BY balanced_accuracy DESC, x) = 1"""
 ORACLE["metrics_long"] = f"""{_curve}
 SELECT x AS xvar, split || '_tpr' AS variable, sensitivity AS value FROM metrics UNION ALL

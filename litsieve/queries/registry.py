@@ -364,11 +364,25 @@ def nb_kfold_tuning(spark, folder):
 
 @query
 def best_params(spark, folder):
-    curve = sweep.nb_feature_curve(_data(spark, folder))
+    curve = sweep.nb_feature_curve(_data(spark, folder)).filter("split = 'validate'")
     best = metrics.best_parameters(curve, ["xvar"], by=["split"])
     return metrics.rounded(best, ("sensitivity", "specificity", "balanced_accuracy"))
 
 
+@query
+def tuned_nb_holdout(spark, folder):
+    """Sparse level chosen by five folds of the train rows; metrics of the refitted model on the test rows.
+
+    Empty when no level is sensitive enough. All levels are scored in one pass, so the choice stays a join.
+    """
+    data = _data(spark, folder)
+    tuned = sweep.tune_naive_bayes(sweep.train_rows(data), kfold=5)
+    best = metrics.best_parameters(metrics.rounded(tuned, ("balanced_accuracy",), 9), ["sparselevel"])
+    scored = sweep.nb_feature_curve(data, sweep.TUNE_LEVELS).filter("split = 'test'")
+    chosen = best.select(F.col("sparselevel").alias("xvar"))  # one row
+    return metrics.rounded(scored.join(F.broadcast(chosen), "xvar"))
+
+
 @query
 def metrics_long(spark, folder):
     long = metrics.series(sweep.nb_feature_curve(_data(spark, folder)))
@@ -380,6 +394,33 @@ def series_view(spark, folder):
     return metrics.series_view(metrics_long(spark, folder), "validate")
 
 
+# ---- with the words that the drivers keep ------------------------------------------------------
+
+PREPARED = {"preset": "tagged", "stop_words": default_stop_words()}
+
+
+@query
+def term_counts_stopped(spark, folder):
+    return terms.term_counts(inputs.documents(spark, folder), **PREPARED)
+
+
+@query
+def term_counts_stemmed(spark, folder):
+    return terms.term_counts(inputs.documents(spark, folder), **PREPARED, stem=True)
+
+
+@query
+def nb_metrics_stopped(spark, folder):
+    found = sweep.nb_predictions(index(inputs.labelled(spark, folder), **PREPARED), LEVEL)
+    return metrics.rounded(metrics.confusion_metrics(metrics.contingency(found)))
+
+
+@query
+def nb_metrics_stemmed(spark, folder):
+    found = sweep.nb_predictions(index(inputs.labelled(spark, folder), **PREPARED, stem=True), LEVEL)
+    return metrics.rounded(metrics.confusion_metrics(metrics.contingency(found)))
+
+
 # ---- nearest neighbours -----------------------------------------------------------------------
 
 
@@ -464,7 +505,7 @@ def svm_grid_search(spark, folder):
 
 @query
 def tune_model(spark, folder):
-    return sweep.tune_svm(_data(spark, folder))
+    return sweep.tune_svm(sweep.train_rows(_data(spark, folder)))
 
 
 @query
