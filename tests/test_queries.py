@@ -36,6 +36,7 @@ def rows(names, table):
     [
         "normalize_text_tagged", "remove_stopwords", "term_counts", "presence", "split_exact", "papers_kept",
         "link_normalize", "screening_tsv", "nb_predict", "nb_learning_curve", "knn_predict", "knn_small_blocks",
+        "term_counts_stopped", "nb_metrics_stopped", "tuned_nb_holdout", "best_params",
     ],
 )
 def test_equals_sql(spark, database, name):
@@ -46,6 +47,11 @@ def test_equals_sql(spark, database, name):
     assert rows(found.columns, found.collect()) == rows(names, answer.fetchall())
 
 
+@pytest.mark.parametrize("name", ["sparse_linear_select", "nb_metrics_stemmed", "term_counts_stemmed"])
+def test_runs_without_sql(spark, name):
+    assert QUERIES[name](spark, str(FOLDER)).count() > 0
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
