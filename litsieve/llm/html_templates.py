@@ -7,7 +7,7 @@ half of the host's pages is valid and belongs to the template. Vectors are compa
 page hashes times counts, which tasks add up before the shuffle, so a host with any number of
 pages costs a few rows per task. Paths nest the classes: the template's containers are slots. Slots of
 menus, headers, footers, sidebars, notices, adverts, forms, and comments go; of the rest those of an
-article or main element stay, or else the slot that holds most text. A page without such a slot, or
+article or main element stay, or else all. A page without such a slot, or
 whose host has no second page, is judged by the same choice on its own containers.
 
 Null or empty html has an empty text. Null urls belong to the host ''. Rows with equal ids are
@@ -20,6 +20,7 @@ import html
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,14 +126,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str | None]]:
     return out
 
 
-def main_slots(tokens: dict[str, int]) -> list[str]:
-    """Of container paths with the text they hold, the slots that stay: outermost articles, or the fullest."""
-    clean = {t: chars for t, chars in tokens.items() if clean_path(tuple(t.split("/")))}
-    main = [t for t in clean if is_main(t.rpartition("/")[2])]
-    if main:
-        return sorted(t for t in main if not any(t.startswith(o + "/") for o in main))
-    filled = {t: chars for t, chars in clean.items() if chars}
-    return [min(filled, key=lambda t: (-filled[t], t))] if filled else []
+def main_slots(tokens: Iterable[str]) -> list[str]:
+    """Of container paths, the outermost articles; none without an article: then every slot that is not noise stays."""
+    main = [t for t in tokens if is_main(t.rpartition("/")[2]) and clean_path(tuple(t.split("/")))]
+    return sorted(t for t in main if not any(t.startswith(o + "/") for o in main))
 
 
 def page_text(page: str, slots: list[str]) -> str:
@@ -146,19 +143,15 @@ def page_text(page: str, slots: list[str]) -> str:
 
     texts = within(slots)
     if not texts:
-        volume = Counter()
-        for path, text in found:
-            volume["/".join(path)] += len(text or "")
-        if any(is_main(p.rpartition("/")[2]) for p in volume):
-            texts = within(main_slots({p: n for p, n in volume.items() if p}))
-        else:
-            texts = [text for path, text in found if text is not None and clean_path(path)]
+        texts = within(main_slots({"/".join(path) for path, _ in found if path}))
+    if not texts:
+        texts = [text for path, text in found if text is not None and clean_path(path)]
     return "\n\n".join(texts)
 
 
-_TOKENS = "host string, token string, pages long, total long, s1 long, s2 long, chars long"
+_TOKENS = "host string, token string, pages long, total long, s1 long, s2 long"
 #: Column types of the first pass.
-_TOKEN_SCHEMA = pa.schema([("host", pa.string()), ("token", pa.string()), *((n, pa.int64()) for n in ("pages", "total", "s1", "s2", "chars"))])
+_TOKEN_SCHEMA = pa.schema([("host", pa.string()), ("token", pa.string()), *((n, pa.int64()) for n in ("pages", "total", "s1", "s2"))])
 
 
 def _count(batches):
@@ -166,16 +159,14 @@ def _count(batches):
     for batch in arrays.slices(batches, "html", 8 << 20):
         sums: dict[tuple[str, str], list[int]] = {}
         for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts, chars = Counter([""]), Counter()
+            counts = Counter([""])
             for path, text in blocks(page or ""):
                 if text is None:
                     counts["/".join(path)] += 1
-                else:
-                    chars["/".join(path)] += len(text)
             h1, h2 = zlib.crc32(key.encode()) & 0x3FFFFFFF, zlib.crc32(b"2" + key.encode()) & 0x3FFFFFFF
             for token, n in counts.items():
-                s = sums.setdefault((host, token), [0] * 5)
-                for i, v in enumerate((1, n, n * h1, n * h2, chars[token])):
+                s = sums.setdefault((host, token), [0] * 4)
+                for i, v in enumerate((1, n, n * h1, n * h2)):
                     s[i] += v
         if sums:
             yield arrays.batch_of(
@@ -192,7 +183,7 @@ def _choose(batches):
         hosts, slots = [], []
         for host, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             hosts.append(host)
-            slots.append(main_slots({t["token"]: t["chars"] for group in classes for t in group}))
+            slots.append(main_slots([t["token"] for group in classes for t in group]))
         yield arrays.batch_of(_SLOT_SCHEMA, slot_host=hosts, slots=slots)
 
 
@@ -203,7 +194,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = vectors.filter("token = ''").select(F.col("host").alias("of"), F.col("pages").alias("host_pages"))
     # on half of the pages or more: a host keeps at most twice the mean number of tokens of a page
     common = vectors.filter("token <> ''").join(sizes, F.col("host") == F.col("of")).filter("host_pages >= 2 AND 2 * pages >= host_pages")
-    classes = common.groupBy("host", "pages", "total", "s1", "s2").agg(F.collect_list(F.struct("token", "chars")).alias("tokens"))
+    classes = common.groupBy("host", "pages", "total", "s1", "s2").agg(F.collect_list(F.struct("token")).alias("tokens"))
     nested = classes.filter(F.size("tokens") > 1).groupBy("host").agg(F.collect_list("tokens").alias("classes"))
     return nested.mapInArrow(_choose, "slot_host string, slots array<string>")
 

@@ -274,6 +274,20 @@ def test_pages(spark):
     assert html_templates.extract_text(frame.limit(0)).collect() == []
 
 
+SPREAD = (
+    '<html><body><nav>menu</nav><div class="post"><p>Para %d<p>More %d<ul><li>a long item of the list %d<li>and one more %d</ul>'
+    '<table><tr><td>cell %d</table><section><h2>Part %d</h2></section></div><div class="body">Body %d</div></body></html>'
+)
+
+
+def test_pages_spread_over_containers(spark):
+    rows = [(i, f"https://s.example/{i}", SPREAD.replace("%d", str(i))) for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parts = ["Para", "More", "a long item of the list", "and one more", "cell", "Part", "Body"]
+    found = {r.page_id: r.text for r in html_templates.extract_text(frame).collect()}
+    assert found == {i: "\n\n".join(f"{p} {i}" for p in parts) for i in range(4)}
+
+
 def test_urls(spark):
     urls = ["http://Example.com/en/1", "http://www.example.com/en/1?q=1", "https://x.net/es/2#a", None, "no url", "http://notexample.com", "http://com/"]
     urls += ["http://a.spam.org/pills/1"] * 30 + ["http://a.good.org/news/1"] * 30 + ["http://b.spam.org/news/7"]
