@@ -1,14 +1,18 @@
 """Main text of web pages by deducing each host's template from equivalence classes.
 
 A page's tokens are its container tags, each with its place (the path of open containers, with
-classes and ids). Over the pages of a host a token has an occurrence vector: how often it is on each page.
-Tokens with equal vectors form an equivalence class; a class of two tokens or more that is on at least
-half of the host's pages is valid and belongs to the template. Vectors are compared by two sums of
+classes and ids), and its blocks of text with theirs. Over the pages of a host a token has an occurrence
+vector: how often it is on each page. Tokens with equal vectors form an equivalence class. Classes of
+containers, the page itself among them, that are on at least half of the host's pages are valid; a block of
+text that is as often as one of its own containers there, or a fixed number of times as often, belongs to such a class
+and so to the template: it is the same wherever the container stands. Vectors are compared by two sums of
 page hashes times counts, which tasks add up before the shuffle, so a host with any number of
-pages costs a few rows per task. Paths nest the classes: the template's containers are slots. Slots of
-menus, headers, footers, sidebars, notices, adverts, forms, and comments go; of the rest those of an
-article or main element stay, or else all. A page without such a slot, or
-whose host has no second page, is judged by the same choice on its own containers.
+pages costs a few rows per task and repeated token.
+
+Template text goes, and so do slots of menus, headers, footers, sidebars, notices, adverts, forms, and
+comments, whose text may differ by page; they are told by tags and English names. All other slots stay. A page with
+nothing left, as where all pages of a host are copies, or whose host has no second page or no valid class, is
+judged by names alone: its article or main elements stay, or else all that is not noise.
 
 Null or empty html has an empty text. Null urls belong to the host ''. Rows with equal ids are
 rows of their own. Extra columns are ignored. Unclosed tags, comments and scripts end with the page.
@@ -16,11 +20,12 @@ rows of their own. Extra columns are ignored. Unclosed tags, comments and script
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,6 +52,7 @@ _NOISE_WORDS = frozenset(
     "related popup modal widget login signup search contentinfo complementary".split()
 )
 _WORDS = re.compile(r"[a-z]+")
+_FIRST_WORD = re.compile(r"(?:^|[.])([a-z]+)")
 _MAIN = ("article", "main")
 
 
@@ -67,8 +73,10 @@ def is_noise(part: str, in_main: bool) -> bool:
     tag, _, names = part.partition(".")
     if tag in _NOISE_TAGS or tag == "header" and not in_main:
         return True
-    if not names or tag in ("html", "body", *_MAIN):
+    if not names or tag in ("html", "body", "main"):
         return False
+    if tag == "article":  # "comment" or "comment-body", but not "has-comments"
+        return not _NOISE_WORDS.isdisjoint(_FIRST_WORD.findall(names.lower()))
     words = set(_WORDS.findall(names.lower()))
     return bool(words & _NOISE_WORDS) or "header" in words and not in_main
 
@@ -132,77 +140,93 @@ def main_slots(tokens: Iterable[str]) -> list[str]:
     return sorted(t for t in main if not any(t.startswith(o + "/") for o in main))
 
 
-def page_text(page: str, slots: list[str]) -> str:
-    found = blocks(page)
+def block_hash(path: tuple[str, ...], text: str) -> int:
+    """64 bits that stand for a block of text at its place."""
+    return int.from_bytes(hashlib.blake2b(f"{'/'.join(path)}\n{text}".encode(errors="replace"), digest_size=8).digest(), signed=True)
 
-    def within(chosen):
-        return [
-            text for path, text in found
-            if text is not None and any("/".join(path[: s.count("/") + 1]) == s for s in chosen) and clean_path(path)
-        ]
 
-    texts = within(slots)
-    if not texts:
-        texts = within(main_slots({"/".join(path) for path, _ in found if path}))
+def page_text(page: str, template: Collection[int] | None) -> str:
+    """The text outside of the template, given as hashes of its blocks; None where a host has no template."""
+    found = [(path, text) for path, text in blocks(page) if text is None or clean_path(path)]
+    clean, texts = [block for block in found if block[1] is not None], []
+    if template is not None:
+        texts = [text for path, text in clean if block_hash(path, text) not in template]
     if not texts:
-        texts = [text for path, text in found if text is not None and clean_path(path)]
-    return "\n\n".join(texts)
+        slots = main_slots({"/".join(path) for path, _ in found if path})
+        texts = [text for path, text in clean if any("/".join(path[: s.count("/") + 1]) == s for s in slots)]
+    return "\n\n".join(texts or [text for _, text in clean])
 
 
-_TOKENS = "host string, token string, pages long, total long, s1 long, s2 long"
-#: Column types of the first pass.
-_TOKEN_SCHEMA = pa.schema([("host", pa.string()), ("token", pa.string()), *((n, pa.int64()) for n in ("pages", "total", "s1", "s2"))])
+_TOKENS = "host string, path string, block long, pages long, total long, s1 long, s2 long"
+#: Column types of the first pass; a block of null is the container itself, and its path of '' the page.
+_TOKEN_SCHEMA = pa.schema([("host", pa.string()), ("path", pa.string()), *((n, pa.int64()) for n in ("block", "pages", "total", "s1", "s2"))])
 
 
 def _count(batches):
-    """Sums over the pages of a slice, by host and token; the token '' counts the pages."""
+    """Sums over the pages of a slice, by host and token."""
     for batch in arrays.slices(batches, "html", 8 << 20):
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, str, int | None], list[int]] = {}
         for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts = Counter([""])
+            counts = Counter([("", None)])
             for path, text in blocks(page or ""):
                 if text is None:
-                    counts["/".join(path)] += 1
+                    counts["/".join(path), None] += 1
+                elif clean_path(path):
+                    counts["/".join(path), block_hash(path, text)] += 1
             h1, h2 = zlib.crc32(key.encode()) & 0x3FFFFFFF, zlib.crc32(b"2" + key.encode()) & 0x3FFFFFFF
             for token, n in counts.items():
-                s = sums.setdefault((host, token), [0] * 4)
+                s = sums.setdefault((host, *token), [0] * 4)
                 for i, v in enumerate((1, n, n * h1, n * h2)):
                     s[i] += v
         if sums:
             yield arrays.batch_of(
-                _TOKEN_SCHEMA, host=[h for h, _ in sums], token=[t for _, t in sums],
-                **{f: [v[i] for v in sums.values()] for i, f in enumerate(_TOKEN_SCHEMA.names[2:])},
+                _TOKEN_SCHEMA, host=[h for h, _, _ in sums], path=[p for _, p, _ in sums], block=[b for _, _, b in sums],
+                **{f: [v[i] for v in sums.values()] for i, f in enumerate(_TOKEN_SCHEMA.names[3:])},
             )
 
 
-_SLOT_SCHEMA = pa.schema([("slot_host", pa.string()), ("slots", pa.list_(pa.string()))])
+_TEMPLATE_SCHEMA = pa.schema([("template_host", pa.string()), ("template", pa.list_(pa.int64()))])
+
+
+def template_blocks(tokens: list[dict]) -> list[int] | None:
+    """Blocks of the template among the common tokens of a host; None without a valid class."""
+    vector = lambda t, times=1: (t["pages"], *(times * t[n] for n in ("total", "s1", "s2")))
+    containers = {t["path"]: t for t in tokens if t["block"] is None}
+    found = []
+    for t in tokens:
+        if t["block"] is None:
+            continue
+        parts = t["path"].split("/") if t["path"] else []
+        around = [containers[p] for k in range(len(parts) + 1) if (p := "/".join(parts[:k])) in containers]
+        if any(t["total"] % c["total"] == 0 and vector(t) == vector(c, t["total"] // c["total"]) for c in around):
+            found.append(t["block"])
+    classes = Counter(vector(c) for path, c in containers.items() if path)
+    return found if found or any(n > 1 for n in classes.values()) else None
 
 
 def _choose(batches):
     for batch in batches:
-        hosts, slots = [], []
-        for host, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hosts.append(host)
-            slots.append(main_slots([t["token"] for group in classes for t in group]))
-        yield arrays.batch_of(_SLOT_SCHEMA, slot_host=hosts, slots=slots)
+        found = [(host, template_blocks(tokens)) for host, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        found = [(host, template) for host, template in found if template is not None]
+        yield arrays.batch_of(_TEMPLATE_SCHEMA, template_host=[h for h, _ in found], template=[t for _, t in found])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(slot_host, slots) from (host, page, html): paths of the slots that stay."""
-    vectors = pages.mapInArrow(_count, _TOKENS).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in _TOKEN_SCHEMA.names[2:]))
-    vectors = materialize(vectors, "vectors")
-    sizes = vectors.filter("token = ''").select(F.col("host").alias("of"), F.col("pages").alias("host_pages"))
+    """(template_host, template) from (host, page, html): blocks of the hosts' templates."""
+    vectors = pages.mapInArrow(_count, _TOKENS).groupBy("host", "path", "block").agg(*(F.sum(c).alias(c) for c in _TOKEN_SCHEMA.names[3:]))
+    vectors = materialize(vectors.filter("block IS NULL OR pages > 1"), "vectors")  # a block of one page is no template
+    sizes = materialize(vectors.filter("path = '' AND block IS NULL AND pages > 1").select(F.col("host").alias("of"), F.col("pages").alias("host_pages")), "hosts")
     # on half of the pages or more: a host keeps at most twice the mean number of tokens of a page
-    common = vectors.filter("token <> ''").join(sizes, F.col("host") == F.col("of")).filter("host_pages >= 2 AND 2 * pages >= host_pages")
-    classes = common.groupBy("host", "pages", "total", "s1", "s2").agg(F.collect_list(F.struct("token")).alias("tokens"))
-    nested = classes.filter(F.size("tokens") > 1).groupBy("host").agg(F.collect_list("tokens").alias("classes"))
-    return nested.mapInArrow(_choose, "slot_host string, slots array<string>")
+    common = vectors.join(small_side(sizes), F.col("host") == F.col("of")).filter("2 * pages >= host_pages")
+    nested = common.groupBy("host").agg(F.collect_list(F.struct("path", "block", "pages", "total", "s1", "s2")).alias("tokens"))
+    return nested.mapInArrow(_choose, "template_host string, template array<long>")
 
 
 def _extract(schema: pa.Schema):
     def run(batches):
         for batch in arrays.slices(batches, "html", 8 << 20):
-            texts = [page_text(page or "", slots or []) for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            known = [None if t is None else frozenset(t) for t in batch.column(3).to_pylist()]
+            texts = [page_text(page or "", template) for page, template in zip(batch.column(2).to_pylist(), known, strict=True)]
             yield arrays.batch_of(schema, id=batch.column(0), url=batch.column(1), text=texts)
 
     return run
@@ -216,7 +240,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     page = F.coalesce(F.concat_ws(" ", F.col("id").cast("string"), "url"), F.lit(""))
     known = materialize(templates(rows.select(url_host(F.col("url")).alias("host"), page.alias("page"), "html")), "templates")
-    joined = rows.join(small_side(known, text_width=128), url_host(F.col("url")) == F.col("slot_host"), "left").select("id", "url", "html", "slots")
+    joined = rows.join(small_side(known, text_width=128), url_host(F.col("url")) == F.col("template_host"), "left").select("id", "url", "html", "template")
     schema = to_arrow_schema(rows.select("id", "url", F.col("html").alias("text")).schema)
     ddl = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string"
     found = joined.mapInArrow(_extract(schema), ddl)

@@ -288,6 +288,22 @@ def test_pages_spread_over_containers(spark):
     assert found == {i: "\n\n".join(f"{p} {i}" for p in parts) for i in range(4)}
 
 
+BOILERPLATE = (
+    '<html><body><div class="topbar">call us any time of the day, we are glad to hear from you</div><div class="intro">Intro %d</div><main><article><h1>Head %d</h1>'
+    '<p>Para %d<p>Shared by hand<div class="row">Row %d<p>Read on</div><div class="row">Row two %d<p>Read on</div></article><article class="comment-body">'
+    'reader %d</article></main><div class="werbung">kauft</div></body></html>'
+)
+
+
+def test_pages_with_repeated_text(spark):
+    rows = [(i, f"https://t.example/{i}", BOILERPLATE.replace("%d", str(i))) for i in range(5)]
+    rows += [(9, "https://alone.example/9", BOILERPLATE.replace("%d", "9")), (10, "https://t.example/10", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_templates.extract_text(frame).collect()}
+    assert {i: found[i] for i in range(5)} == {i: f"Intro {i}\n\nHead {i}\n\nPara {i}\n\nRow {i}\n\nRow two {i}" for i in range(5)}
+    assert found[9] == "Head 9\n\nPara 9\n\nShared by hand\n\nRow 9\n\nRead on\n\nRow two 9\n\nRead on" and found[10] == ""
+
+
 def test_urls(spark):
     urls = ["http://Example.com/en/1", "http://www.example.com/en/1?q=1", "https://x.net/es/2#a", None, "no url", "http://notexample.com", "http://com/"]
     urls += ["http://a.spam.org/pills/1"] * 30 + ["http://a.good.org/news/1"] * 30 + ["http://b.spam.org/news/7"]
