@@ -1,20 +1,24 @@
 """URL filters: curated rules, and rules that FP-growth mines from labelled urls.
 
-A url becomes a set of tokens: scheme, host labels, directory names, file ending, names of query keys.
-FP-growth finds the token sets that are frequent among labelled urls with and without the mark of
+A url becomes a set of tokens: scheme, host labels, directory names, words of the last segment, file ending, names of
+query keys. FP-growth finds the token sets of any size that are frequent among labelled urls with and without the mark of
 a bad url. A set is a rule when enough of the urls that hold it are bad (confidence) and enough bad
-urls hold it (support), and no smaller part of it is as sure. Rules match through an
+urls hold it (support), and without any one of its tokens it is less sure. Rules match through an
 inverted index: each rule is listed under its rarest token, so a url is compared only with rules
 listed under its own tokens.
 
+Two things keep the number of sets down without losing a rule. Tokens that too few bad urls hold are left
+out, as no rule can hold them. Tokens that the same urls hold, as the words of a slug that repeats, are mined as one, since a
+set with two of them is no surer than with one; each of them stands for it in a rule of its own.
+
 The curated rules win over mined ones. Null urls have an empty host and path, no tokens and the default
 verdict. Without labels nothing is mined. Repeated rows get equal verdicts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -24,8 +28,6 @@ from litsieve.llm.html_templates import url_host
 from litsieve.session import materialize, small_side
 
 BAD = "bad:"
-#: Tokens of a mined rule at most; longer sets only narrow a shorter one.
-MAX_TOKENS = 4
 
 
 def url_path(url: Column) -> Column:
@@ -37,11 +39,13 @@ def url_tokens(url: Column) -> Column:
     """Distinct tokens. Numbers in them are written as 0, so that they can repeat."""
     low = F.lower(F.coalesce(url, F.lit("")))
     path = url_path(low)
+    last = F.regexp_replace(F.regexp_extract(path, "/([^/]+)$", 1), "[.][a-z0-9]+$", "")
     marked = lambda mark, found: F.transform(found, lambda x: F.concat(F.lit(mark), F.regexp_replace(x, "[0-9]+", "0")))
     parts = [
         marked("scheme:", F.regexp_extract_all(low, F.lit("^([a-z]+)://"), 1)),
         marked("host:", F.split(url_host(low), "[.]")),
         marked("dir:", F.regexp_extract_all(path, F.lit("/([^/]*[a-z][^/.]*)(?=/)"), 1)),
+        marked("word:", F.regexp_extract_all(last, F.lit(r"([\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*)"), 1)),
         marked("end:", F.regexp_extract_all(path, F.lit("[.]([a-z0-9]+)$"), 1)),
         marked("key:", F.regexp_extract_all(low, F.lit("[?&]([^=&#]+)"), 1)),
     ]
@@ -52,18 +56,35 @@ def _key(items: Column) -> Column:
     return F.array_join(F.array_sort(items), "\n")
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8, max_tokens: int = MAX_TOKENS
-) -> DataFrame:
+def _merged(marked: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that at least ``least`` bad urls hold; tokens that the same urls hold share an item."""
+    found = marked.select("items", F.xxhash64(_key(F.col("items"))).alias("h")).groupBy("h").agg(F.first("items").alias("items"), F.count("*").alias("n"))
+    sums = [F.sum(F.col("n") * F.shiftright("h", by).bitwiseAND(F.lit(0x3FFFFFFF))).alias(f"s{by}") for by in (0, 30)]
+    held = found.withColumn("bad", F.when(F.array_contains("items", BAD), F.col("n")).otherwise(F.lit(0)))
+    tokens = held.select("h", "n", "bad", F.explode("items").alias("token")).filter(F.col("token") != BAD)
+    counts = tokens.groupBy("token").agg(F.sum("n").alias("freq"), F.sum("bad").alias("freq_bad"), *sums).filter(F.col("freq_bad") >= least)
+    alike = counts.groupBy("freq", "freq_bad", "s0", "s30").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return alike.select(F.explode("tokens").alias("token"), "item", "freq")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8) -> DataFrame:
     """(items, confidence, support, token) from (tokens, bad): pruned rules, each under its rarest token."""
     spark = labelled.sparkSession
+    none = spark.createDataFrame([], "items array<string>, confidence double, support double, token string")
     marked = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     marked = materialize(marked.filter(F.size("items") > 0), "transactions")
     n = marked.count()
-    if not n:
-        return spark.createDataFrame([], "items array<string>, confidence double, support double, token string")
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(marked).freqItemsets
-    sets = materialize(sets.filter(F.size("items") <= max_tokens + 1), "itemsets")
+    least = max(1, math.ceil(min_support * n))
+    merged = materialize(_merged(marked, least), "merged")
+    if not n or merged.isEmpty():
+        return none
+    urls = marked.withColumn("url_nr", F.monotonically_increasing_id())
+    long = urls.select("url_nr", F.explode("items").alias("token")).join(small_side(merged.select("token", "item")), "token", "left")
+    item = F.when(F.col("token") == BAD, F.lit(BAD)).otherwise(F.col("item"))
+    mined = materialize(long.groupBy("url_nr").agg(F.collect_set(item).alias("items")).filter(F.size("items") > 0).select("items"), "mined_urls")
+    # the share is of all urls, also of those without a token left
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / mined.count()), minConfidence=1.0).fit(mined).freqItemsets
+    sets = materialize(sets, "itemsets")
     bad = F.array_contains("items", BAD)
     whole = sets.filter(~bad).select("items", F.col("freq").alias("n_all"), _key(F.col("items")).alias("key"))
     hits = sets.filter(bad & (F.size("items") > 1)).select(
@@ -71,19 +92,25 @@ def mine_rules(
     )
     rules = whole.join(hits, "key").withColumn("confidence", F.col("n_bad") / F.col("n_all")).filter(F.col("confidence") >= min_confidence)
     rules = materialize(rules.withColumn("support", F.col("n_bad") / n), "rules")
-    # a rule goes when a part of it is as sure: its parts are listed and looked up
-    places = [p for size in range(1, max_tokens) for p in combinations(range(max_tokens), size)]
-    parts = F.array(*(
-        F.when(F.size("items") > max(len(p), p[-1]), F.array_join(F.array(*(F.get(F.array_sort("items"), F.lit(i)) for i in p)), "\n")) for p in places
-    ))
-    listed = rules.select("key", "confidence", F.explode(F.array_compact(parts)).alias("part"))
+    # a rule goes when it is as sure without one of its tokens
+    parts = F.transform("items", lambda x: _key(F.array_remove("items", x)))
+    listed = rules.select("key", "confidence", F.explode(parts).alias("part"))
     known = rules.select(F.col("key").alias("part"), F.col("confidence").alias("sure"))
     weaker = listed.join(known, "part").filter("sure >= confidence").select("key").distinct()
     kept = rules.join(weaker, "key", "left_anti")
-    counts = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    tokens = kept.select("key", "items", "confidence", "support", F.explode("items").alias("token")).join(counts, "token")
-    rarest = F.min_by("token", F.struct("freq", "token")).alias("token")
-    return tokens.groupBy("key").agg(F.first("items").alias("items"), F.first("confidence").alias("confidence"), F.first("support").alias("support"), rarest).drop("key")
+    # an item is written as each of its tokens, which are equally frequent
+    alike = merged.groupBy("item").agg(F.collect_list("token").alias("tokens"), F.first("freq").alias("freq"))
+    tokens = kept.select("key", "confidence", "support", F.explode("items").alias("item")).join(alike, "item")
+    rows = tokens.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("freq", "item", "tokens"))).alias("held"), F.first("confidence").alias("confidence"), F.first("support").alias("support")
+    )
+    start = F.array(F.array().cast("array<string>"))
+    sets = F.aggregate(
+        F.transform("held", lambda x: x["tokens"]), start,
+        lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.concat(d, F.array(t))))),
+    )
+    # the rarest comes first
+    return rows.select(F.explode(sets).alias("items"), "confidence", "support").withColumn("token", F.col("items")[0])
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:

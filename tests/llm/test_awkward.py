@@ -324,6 +324,42 @@ def test_urls(spark):
     assert url_rules.filter_urls(pages.limit(0), labelled, rules).collect() == []
 
 
+def brute_rules(urls, least, confidence):
+    """Token sets of any size that are sure enough."""
+    sets = {frozenset(c) for tokens, bad in urls if bad for k in range(1, len(tokens) + 1) for c in itertools.combinations(sorted(tokens), k)}
+    held = {s: [bad for tokens, bad in urls if s <= tokens] for s in sets}
+    return {s for s, bads in held.items() if sum(bads) >= least and sum(bads) >= confidence * len(bads)}
+
+
+def test_url_rules_of_any_size(spark):
+    names = ["a", "b", "c", "d", "e"]
+    urls = [("https://h.example/" + "".join(f"{x}/" for x in names) + "1", True)] * 10
+    for gone in names:
+        urls += [("https://h.example/" + "".join(f"{x}/" for x in names if x != gone) + "1", False)] * 10
+    urls += [(f"https://h.example/en/{i}-free-bets.html", True) for i in range(10)] + [(f"https://h.example/en/{i}-fresh-news.html", False) for i in range(10)]
+    slug = "-".join(f"word{chr(97 + i)}" for i in range(24))  # 2 ** 24 sets if its words were mined one by one
+    urls += [(f"https://h.example/en/{slug}", True)] * 10
+    labelled = spark.createDataFrame(urls, "url string, bad boolean")
+    probes = [urls[0][0], "https://x.example/a/b/c/d/e/7", urls[10][0], "https://x.example/a/b/c/d/7", "http://y.example/free", "http://y.example/fresh.html", "http://y.example/wordq"]
+    pages = spark.createDataFrame(list(enumerate(probes)), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, labelled).collect()}
+    assert found == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "block"}
+
+
+def test_url_rules_against_plain_python(spark):
+    urls = []
+    for _ in range(150):
+        tokens = {f"dir:{x}" for x in "pqrstu" if RANDOM.random() < 0.6} | {f"host:{RANDOM.choice('xyz')}"}
+        tokens |= {"end:x", "key:x"} if RANDOM.random() < 0.3 else set()
+        urls.append((frozenset(tokens), RANDOM.random() < (0.9 if {"dir:p", "dir:q", "dir:r", "host:x"} <= tokens else 0.4)))
+    labelled = spark.createDataFrame([(sorted(t), b) for t, b in urls], "tokens array<string>, bad boolean")
+    found = [frozenset(r["items"]) for r in url_rules.mine_rules(labelled, 0.05, 0.8).collect()]
+    every = brute_rules(urls, 8, 0.8)
+    assert len(set(found)) == len(found) and set(found) <= every
+    probes = {t for t, _ in urls} | every
+    assert {p for p in probes if any(r <= p for r in found)} == {p for p in probes if any(r <= p for r in every)}
+
+
 def test_quality(spark, docs, nothing):
     good = [(i, sentence(30) + ".", 1) for i in range(0, 300)]
     bad = [(i, " | ".join(RANDOM.choices(WORDS, k=30)), 0) for i in range(300, 400)]
