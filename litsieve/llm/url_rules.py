@@ -3,7 +3,7 @@
 A url becomes a set of tokens: scheme, host labels, directory names, words of the last segment, file ending, names of
 query keys. FP-growth finds the token sets of any size that are frequent among labelled urls with and without the mark of
 a bad url. A set is a rule when enough of the urls that hold it are bad (confidence) and enough bad
-urls hold it (support), and without any one of its tokens it is less sure. Rules match through an
+urls hold it (support: a share of the labelled urls, and 5 urls at least), and without any one of its tokens it is less sure. Rules match through an
 inverted index: each rule is listed under its rarest token, so a url is compared only with rules
 listed under its own tokens.
 
@@ -28,6 +28,8 @@ from litsieve.llm.html_templates import url_host
 from litsieve.session import materialize, small_side
 
 BAD = "bad:"
+#: Labelled bad urls that must hold a rule, whatever share of a small table they are.
+MIN_BAD_URLS = 5
 
 
 def url_path(url: Column) -> Column:
@@ -67,14 +69,16 @@ def _merged(marked: DataFrame, least: int) -> DataFrame:
     return alike.select(F.explode("tokens").alias("token"), "item", "freq")
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8) -> DataFrame:
+def mine_rules(
+    labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8, min_bad_urls: int = MIN_BAD_URLS
+) -> DataFrame:
     """(items, confidence, support, token) from (tokens, bad): pruned rules, each under its rarest token."""
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "items array<string>, confidence double, support double, token string")
     marked = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     marked = materialize(marked.filter(F.size("items") > 0), "transactions")
     n = marked.count()
-    least = max(1, math.ceil(min_support * n))
+    least = max(1, min_bad_urls, math.ceil(min_support * n))
     merged = materialize(_merged(marked, least), "merged")
     if not n or merged.isEmpty():
         return none
@@ -131,7 +135,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 def filter_urls(
     pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url",
-    min_support: float = 0.001, min_confidence: float = 0.8,
+    min_support: float = 0.001, min_confidence: float = 0.8, min_bad_urls: int = MIN_BAD_URLS,
 ) -> DataFrame:
     """(id, url, host, path, rule, verdict) of every page; ``labelled`` has (url, bad).
 
@@ -139,7 +143,7 @@ def filter_urls(
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     known = labelled.select(url_tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad"))
-    mined = materialize(mine_rules(known, min_support, min_confidence), "mined")
+    mined = materialize(mine_rules(known, min_support, min_confidence, min_bad_urls), "mined")
     blocked = materialize(matches(rows.select("url", url_tokens(F.col("url")).alias("tokens")), mined), "blocked")
     joined = rows.join(small_side(blocked.withColumnRenamed("url", "bad_url"), text_width=128), F.col("url") == F.col("bad_url"), "left")
     host, path = url_host(F.col("url")), url_path(F.col("url"))

@@ -346,6 +346,17 @@ def test_url_rules_of_any_size(spark):
     assert found == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "block"}
 
 
+def test_few_bad_urls_make_no_rule(spark):
+    urls = [(f"https://one.example/x/{i}", True) for i in range(4)] + [(f"https://two.example/y/{i}", True) for i in range(5)]
+    urls += [(f"https://good.example/z/{i}", False) for i in range(30)]
+    labelled = spark.createDataFrame(urls, "url string, bad boolean")
+    pages = labelled.selectExpr("monotonically_increasing_id() AS page_id", "url")
+    blocked = {r.url for r in url_rules.filter_urls(pages, labelled).filter("verdict = 'block'").collect()}
+    assert blocked == {u for u, _ in urls if "two" in u}
+    lower = url_rules.filter_urls(pages, labelled, min_bad_urls=1).filter("verdict = 'block'").collect()
+    assert {r.url for r in lower} == {u for u, bad in urls if bad}
+
+
 def test_url_rules_against_plain_python(spark):
     urls = []
     for _ in range(150):
