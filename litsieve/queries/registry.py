@@ -443,22 +443,34 @@ def knn_small_blocks(spark, folder):
 
 @query
 def knn_feature_curve(spark, folder):
+    """The two points of its SQL; ``knn_feature_curve_full`` has all."""
     return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "feature_curve", "kNN", values=(LEVEL, 0.9)))
 
 
 @query
 def svm_feature_curve(spark, folder):
-    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "feature_curve", "SVM", values=(0.92, 0.9)))
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "feature_curve", "SVM"))
+
+
+@query
+def knn_feature_curve_full(spark, folder):
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "feature_curve", "kNN"))
 
 
 @query
 def knn_learning_curve(spark, folder):
+    """The two points of its SQL; ``knn_learning_curve_full`` has all."""
     return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "learning_curve", "kNN", values=(0.5, 1.0)))
 
 
+@query
+def knn_learning_curve_full(spark, folder):
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "learning_curve", "kNN"))
+
+
 @query
 def svm_learning_curve(spark, folder):
-    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "learning_curve", "SVM", values=(0.5, 1.0)))
+    return metrics.rounded(sweep.curve_metrics(_data(spark, folder), "learning_curve", "SVM"))
 
 
 @query

@@ -5,6 +5,10 @@ import pathlib
 import duckdb
 import pytest
 
+from litsieve.operators import metrics
+from litsieve.plans import sweep
+from litsieve.plans.dataset import index
+from litsieve.queries import inputs
 from litsieve.queries.oracle import ORACLE
 from litsieve.queries.registry import QUERIES
 
@@ -66,3 +70,15 @@ def test_term_counts_read_two_columns_and_normalise_once(spark):
     plan = QUERIES["sparse_vocab"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("[0-9]*[.]?[0-9]+") == 1
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["knn_feature_curve_full", "svm_feature_curve", "knn_learning_curve_full", "svm_learning_curve"])
+def test_curves_have_all_points(spark, monkeypatch, name):
+    perfect = lambda model, rows, *_: metrics.confusion_metrics(metrics.contingency(rows.rows.withColumn("predicted", rows.rows["flag"])))
+    monkeypatch.setattr(sweep, "_model_metrics", perfect)
+    found = {r.xvar for r in QUERIES[name](spark, str(FOLDER)).select("xvar").collect()}
+    if "feature" in name:
+        assert found == set(sweep.LEVELS)
+    else:
+        docs = index(inputs.labelled(spark, str(FOLDER))).docs
+        assert found == {float(n) for n in sweep.prefix_sizes(docs, sweep.FRACTIONS) if n > 0}
