@@ -106,3 +106,89 @@ found AS (
 SELECT doc_id, {', '.join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in BASE)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN found USING (doc_id)"""
+
+ORACLE["op11_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex({_lowered("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM split, unnest(range(1, 5)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM places GROUP BY lang, m, phrase HAVING count(*) >= 30),
+long_ones AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+cuts AS (
+  SELECT s.lang, s.phrase, s.f AS a, k, x.f AS l, y.f AS r, CAST(s.f::HUGEINT * 2000000 // (x.f + y.f) AS BIGINT) AS score
+  FROM long_ones AS s, unnest(range(1, s.m)) AS t(k)
+  JOIN counts AS x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:k], ' ')
+  JOIN counts AS y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[k + 1:s.m], ' ')),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nr FROM cuts),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(f) AS most
+  FROM long_ones, unnest(range(2, m)) AS s(z), unnest(range(1, m - z + 2)) AS t(i) GROUP BY ALL),
+kept AS (
+  SELECT v.* FROM worst AS v LEFT JOIN inside AS i ON v.lang = i.lang AND v.phrase = i.phrase
+  WHERE nr = 1 AND NOT coalesce(100::HUGEINT * most >= 80::HUGEINT * a, FALSE)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: CRC-32 by its shift register, a byte of the decimal id at a time.
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+  lambda r, c: list_reduce(list_prepend(xor(r, c), list_transform(range(8), lambda b: 0::UBIGINT)),
+    lambda v, b: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)))"""
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT doc_id, source, {_leaf('text')} AS leaf,
+               CASE WHEN xor({_CRC}, 4294967295::UBIGINT) % 5 = 0 THEN {_leaf(_lowered('text'))} ELSE {_leaf('text')} END AS given
+        FROM documents) AS d),
+-- a group's tree from its leaves upward, then the tree over the groups
+nodes AS (
+  SELECT source, 0 AS level, pos, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes) AS x WHERE n > 1 GROUP BY source, level, pos // 16),
+subroots AS (
+  SELECT source, max(level) AS height, arg_max(digest, level) AS subroot FROM nodes GROUP BY source),
+groups AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place FROM subroots),
+upper AS (
+  SELECT 0 AS level, place AS pos, subroot AS digest FROM groups
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM upper) AS x WHERE n > 1 GROUP BY level, pos // 16),
+peak AS (SELECT max(level) AS height, arg_max(digest, level) AS root FROM upper),
+sides AS (
+  SELECT a.source, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM nodes AS a JOIN nodes AS b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.pos // 16 = b.pos // 16
+  GROUP BY a.source, a.level, a.pos),
+upper_sides AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM upper AS a JOIN upper AS b ON a.level = b.level AND a.pos // 16 = b.pos // 16 GROUP BY a.level, a.pos),
+walk AS (
+  SELECT doc_id, leaf, l.source, height, place, subroot, 0 AS level, pos, '' AS siblings, given AS folded
+  FROM leaves AS l JOIN groups AS g ON l.source IS NOT DISTINCT FROM g.source
+  UNION ALL
+  SELECT doc_id, leaf, w.source, height, place, subroot, w.level + 1, w.pos // 16, siblings || before || after, sha256(before || folded || after)
+  FROM walk AS w JOIN sides AS s ON w.source IS NOT DISTINCT FROM s.source AND w.level = s.level AND w.pos = s.pos
+  WHERE w.level < w.height),
+climb AS (
+  SELECT doc_id, leaf, subroot, place AS pos, 0 AS level, siblings, folded FROM walk WHERE level = height
+  UNION ALL
+  SELECT doc_id, leaf, subroot, c.pos // 16, c.level + 1, siblings || before || after, sha256(before || folded || after)
+  FROM climb AS c JOIN upper_sides AS s ON c.level = s.level AND c.pos = s.pos WHERE c.level < (SELECT height FROM peak))
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM climb, peak WHERE level = height"""

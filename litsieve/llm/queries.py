@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm import (
-    decontaminate, exact_dedup, html_templates, jaccard_join, line_dedup, mixing, quality_rules, secret_ledger, token_files, url_rules,
+    decontaminate, exact_dedup, html_templates, jaccard_join, language, line_dedup, merkle, mixing, phrases, quality_rules, secret_ledger,
+    token_files, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +129,22 @@ def op10_secret_ledger(spark, folder):
         _sha256(F.array_join(F.transform(own, name), ",")).alias("base_sha256"),
         F.array_join(F.transform("found", name), ",").alias("spans"),
     )
+
+
+@query
+def op11_collocations(spark, folder):
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return phrases.collocations(docs, longest=4, least=30, scale=2_000_000, cover=80, top=2000)
+
+
+@query
+def op12_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    labelled = docs.filter(~held_out(F.col("doc_id"))).select("lang", "text")
+    found = language.identify(docs.select("doc_id", "text"), labelled)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_merkle(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"), fanout=16)

@@ -52,3 +52,10 @@ def test_classifier_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     found = QUERIES["op9_quality_rules"](spark, folder).join(labels, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in found) >= 0.9 * len(found)
+
+
+def test_language_on_held_out_rows(spark):
+    folder = str(FOLDER.parent / "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    found = QUERIES["op12_language"](spark, folder).join(docs, "doc_id").filter("held_out").collect()
+    assert len(found) > 100 and sum(r.lang_pred == r.lang for r in found) >= 0.98 * len(found)
