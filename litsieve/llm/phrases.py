@@ -1,15 +1,16 @@
 """Phrase collocations, counted in HAT-tries.
 
-Phrases of 1 to ``longest`` words are counted length by length. A task reads its texts into a trie whose inner nodes branch by word id
-(the word's hash) and whose leaves are hash containers of phrases; a container that grows beyond ``BURST`` phrases bursts into a node with
-a container for each next word. When the trie holds more than ``LIMIT`` phrases, whole subtrees below the root, the largest
-first, are spilled as runs sorted by phrase until half of it is left. The runs of all tasks are written, cut into partitions by
-ranges of prefixes (a frequent prefix spreads over several) and merged there.
-
-A phrase can only be frequent if both phrases without its last and its first word are. So from two words on, a Bloom filter of the
-frequent phrases of the length before (bounded at ``FILTER_BITS``, whatever their number) keeps most others out of the tries. What
-it lets through in error is counted and dropped like any other phrase, so results are exact. Occurrences of a slice of text are first grouped by
-a 64-bit hash of the phrase; from there on the phrases themselves are compared.
+A task reads its texts into a trie whose inner nodes branch by word id (the word's hash) and whose leaves are hash containers of phrases
+of 1 to ``longest`` words; a container that grows beyond ``BURST`` phrases bursts into a node with a container for each next word. When
+the trie holds more than ``LIMIT`` phrases, whole subtrees below the root, the largest first, are spilled as runs sorted by
+phrase until half of it is left. The runs of all tasks are written, cut into partitions by ranges of prefixes (a frequent
+prefix spreads over several) and merged there.
+
+Most phrases occur once, and need no place in a trie. So two passes before it count 64-bit hashes of phrases: of one and two words, then of
+more words in texts' stretches whose neighbouring words are all frequent pairs. Hashes go in sorted blocks to parts of bounded size, by
+their top bits, where equal ones are added up. A Bloom filter (of ``FILTER_BITS`` at most, whatever the number) of the hashes with
+``least`` occurrences or more then decides what enters the tries. Collisions only let through more than needed: it is counted
+exactly there, by its text, and dropped.
 
 Everything is counted per language. Null texts are empty; a null language is ``und``. Rows are not told apart, so repeated rows and null
 ids count like others. A text longer than a slice is cut where a piece ends, which no phrase crosses. Ties in score and count are broken by
@@ -18,6 +19,7 @@ the phrase's bytes. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +36,25 @@ WORD = arrays.byte_table(BREAKS + " \t")
 _BREAK = ~arrays.byte_table(BREAKS)
 #: Phrases of a container, and of a trie.
 BURST, LIMIT = 4096, 300_000
-FILTER_BITS = 1 << 26
-#: Text bytes that are grouped at once.
-SLICE = 4 << 20
+FILTER_BITS = 1 << 27
+#: Text bytes that are worked on at once.
+SLICE = 2 << 20
+#: Hashes that a task holds before it sends them, and text bytes whose hashes make one part.
+_HELD, PART_BYTES = 3 << 20, 64 << 20
+#: Parts that hashes are dealt out to in one step.
+_RADIX = 4096
 _RUN = "lang string, phrase string, f long"
+_BLOCK = "part long, hashes binary, counts binary"
 
 
 class HatTrie:
-    """Counts of phrases of ``words`` words; ``root`` maps (language, word id) to a container or a node."""
+    """Counts of phrases of at most ``longest`` words; ``root`` maps (language, word id) to a container or a node.
+
+    A node's child 0 holds the phrases that end there.
+    """
 
-    def __init__(self, words: int, burst: int = BURST, limit: int = LIMIT) -> None:
-        self.words, self.burst, self.limit = words, burst, limit
+    def __init__(self, longest: int, burst: int = BURST, limit: int = LIMIT) -> None:
+        self.longest, self.burst, self.limit = longest, burst, limit
         self.root: dict[tuple[str, int], Container | Node] = {}
         self.held = 0
 
@@ -56,7 +66,7 @@ class HatTrie:
             below = self.root[key] = Container()
         depth, holder, name = 1, self.root, key
         while isinstance(below, Node):
-            holder, name = below.children, path[depth]
+            holder, name = below.children, path[depth] if depth < len(path) else 0
             below, depth = holder.get(name), depth + 1
             if below is None:
                 below = holder[name] = Container()
@@ -64,8 +74,8 @@ class HatTrie:
         if old is None:
             self.held += 1
             below.counts[phrase] = count
-            if len(below.counts) > self.burst and depth < self.words:
-                holder[name] = below.split(depth, self.words)
+            if len(below.counts) > self.burst and depth < self.longest and name != 0:
+                holder[name] = below.split(depth)
         else:
             below.counts[phrase] = old + count
 
@@ -92,13 +102,17 @@ class Container:
     def phrases(self) -> Iterator[tuple[bytes, int]]:
         return iter(self.counts.items())
 
-    def split(self, depth: int, words: int) -> Node:
+    def split(self, depth: int) -> Node:
         """A node with a container for each word that follows the first ``depth``."""
         node = Node()
-        data = np.frombuffer(b" ".join(self.counts), np.uint8)
-        starts, ends, _ = arrays.words(data, np.array([0, len(data)]), WORD)
-        ids = arrays.word_hashes(data, starts, ends).reshape(-1, words)[:, depth].tolist()
-        for word, (phrase, count) in zip(ids, self.counts.items(), strict=True):
+        data, offsets = arrays.text_bytes(pa.array(list(self.counts), pa.large_binary()).cast(pa.large_string()))
+        starts, ends, rows = arrays.words(data, offsets, WORD)
+        ids = arrays.word_hashes(data, starts, ends)
+        first = np.searchsorted(rows, np.arange(len(self.counts) + 1))
+        more = np.diff(first) > depth
+        following = np.zeros(len(self.counts), np.uint64)
+        following[more] = ids[first[:-1][more] + depth]
+        for word, (phrase, count) in zip(following.tolist(), self.counts.items(), strict=True):
             below = node.children.get(word)
             if below is None:
                 below = node.children[word] = Container()
@@ -175,74 +189,156 @@ def lang_hashes(langs: list[str]) -> np.ndarray:
 
 
 def phrase_hashes(words: np.ndarray, length: int, salt: np.ndarray) -> np.ndarray:
-    """Hashes of the windows of ``length`` words; ``salt`` is the language's, for every window."""
-    return arrays.mix(arrays.window_hashes(words, length) ^ salt)
+    """Hashes of the windows of ``length`` words; ``salt`` is the language's, for every word."""
+    found = arrays.window_hashes(words, length)
+    return arrays.mix(found ^ (salt[: len(found)] + np.uint64(length)))
+
+
+class Slice:
+    """The words of a slice of texts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, salts: np.ndarray) -> None:
+        self.data = arrays.LOWER[data]
+        self.starts, self.ends, self.rows = arrays.words(self.data, offsets, WORD)
+        self.ids = arrays.word_hashes(self.data, self.starts, self.ends)
+        self.salt = salts[self.rows]
+        # pieces are numbered through all texts
+        self.piece = np.cumsum(_BREAK[self.data], dtype=np.int32)[self.starts] + self.rows.astype(np.int32)
+
+    def within(self, length: int) -> np.ndarray:
+        """Whether the window that begins at a word lies in one piece."""
+        count = len(self.ids) - length + 1
+        return self.piece[:count] == self.piece[length - 1 :] if count > 0 else np.zeros(0, bool)
+
+    def hashes(self, length: int) -> np.ndarray:
+        return phrase_hashes(self.ids, length, self.salt)
+
+    def chained(self, length: int, pairs: np.ndarray) -> np.ndarray:
+        """Windows of one piece, of words that are all neighbours in frequent pairs."""
+        alive = self.within(length)
+        for k in range(length - 1):
+            alive = alive & pairs[k : k + len(alive)]
+        return alive
+
+
+def _slices(batches) -> Iterator[tuple[list[str], Slice]]:
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        salts = lang_hashes(langs)
+        data, offsets = arrays.text_bytes(batch.column(1))
+        for begin, end in stretches(data, offsets):
+            yield langs, Slice(data[begin:end], np.clip(offsets - begin, 0, end - begin), salts)
+
+
+# ---- which phrases may be frequent -------------------------------------------------------------
+
+
+def _dealt(hashes: np.ndarray, counts: np.ndarray, parts: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Sorted hashes in blocks, by ``parts`` equal ranges."""
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    tails = np.append(heads[1:], len(hashes))
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return arrays.batch_of(
+        schema, part=part[heads].astype(np.int64), hashes=[hashes[a:b].tobytes() for a, b in zip(heads, tails, strict=True)],
+        counts=[counts[a:b].tobytes() for a, b in zip(heads, tails, strict=True)],
+    )
 
 
-def _counter(length: int, shared, schema: pa.Schema, burst: int, limit: int):
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, weights = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(found)
+    found = found[order]
+    heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[heads], np.add.reduceat(weights[order], heads)
+
+
+def _hashed(lengths: tuple[int, ...], shared, parts: int, schema: pa.Schema):
+    """Blocks of the hashes of all phrases of ``lengths`` words, counted within the task as far as it holds them."""
+
     def run(batches):
-        trie = HatTrie(length, burst, limit)
-        known = shared.value if shared is not None else None
+        held, size = [], 0
+        for _, words in _slices(batches):
+            pairs = shared.value.has(words.hashes(2)) if shared is not None else None
+            for length in lengths:
+                alive = words.within(length) if pairs is None else words.chained(length, pairs)
+                held.append(words.hashes(length)[alive])
+                size += len(held[-1])
+            if size >= _HELD:
+                yield _dealt(*np.unique(np.concatenate(held), return_counts=True), parts, schema)
+                held, size = [], 0
+        if size:
+            yield _dealt(*np.unique(np.concatenate(held), return_counts=True), parts, schema)
 
-        def spilled(keep: int) -> Iterator[pa.RecordBatch]:
-            langs, phrases, counts = [], [], []
-            for lang, found in trie.spill(keep):
-                langs += [lang] * len(found)
-                phrases += [p for p, _ in found]
-                counts += [c for _, c in found]
-                if len(langs) >= 1 << 15:
-                    yield arrays.batch_of(schema, lang=langs, phrase=pa.array(phrases, pa.binary()).cast(pa.string()), f=counts)
-                    langs, phrases, counts = [], [], []
-            if langs:
-                yield arrays.batch_of(schema, lang=langs, phrase=pa.array(phrases, pa.binary()).cast(pa.string()), f=counts)
+    return run
 
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            salts = lang_hashes(langs)
-            everything, offsets = arrays.text_bytes(batch.column(1))
-            for begin, end in stretches(everything, offsets):
-                data = arrays.LOWER[everything[begin:end]]
-                starts, ends, row = arrays.words(data, np.clip(offsets - begin, 0, len(data)), WORD)
-                if len(starts) < length:
-                    continue
-                piece = np.cumsum(_BREAK[data])[starts] + row * len(data)
-                ids = arrays.word_hashes(data, starts, ends)
-                count = len(starts) - length + 1
-                alive = piece[:count] == piece[length - 1 :]
-                if known is not None:
-                    part = known.has(phrase_hashes(ids, length - 1, salts[row[: len(ids) - length + 2]]))
-                    alive &= part[:count] & part[1:]
-                at = np.flatnonzero(alive)
-                if not len(at):
-                    continue
-                _, first, counts = np.unique(phrase_hashes(ids, length, salts[row[:count]])[at], return_index=True, return_counts=True)
-                at = at[first]
-                text, begins, stops = joined(data, starts, ends)
-                raw = text.tobytes()
-                paths = zip(*(ids[at + k].tolist() for k in range(length)), strict=True)
-                for r, a, b, n, path in zip(
-                    row[at].tolist(), begins[at].tolist(), stops[at + length - 1].tolist(), counts.tolist(), paths, strict=True
-                ):
-                    trie.add(langs[r], path, raw[a:b], n)
-                    if trie.full():
-                        yield from spilled(limit // 2)
-        yield from spilled(0)
+
+def _parts(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for part, hashes, counts in zip(*(batch.column(k) for k in range(3)), strict=True):
+            yield part.as_py(), np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint8)
+
+
+def _redealt(parts: int, schema: pa.Schema):
+    """The same hashes in blocks for more parts; rows of a part are neighbours."""
+
+    def run(batches):
+        last, hashes, counts, size = None, [], [], 0
+        for part, h, c in _parts(batches):
+            if size and (part != last or size >= 8 * _HELD):
+                yield _dealt(*_summed(hashes, counts), parts, schema)
+                hashes, counts, size = [], [], 0
+            last, size = part, size + len(h)
+            hashes.append(h)
+            counts.append(c)
+        if size:
+            yield _dealt(*_summed(hashes, counts), parts, schema)
 
     return run
 
 
-def _bits(length: int, shift: np.uint64, schema: pa.Schema):
-    """(word, bits) of a Bloom filter's words for batches of (lang, phrase)."""
+def _often(least: int, schema: pa.Schema):
+    """The hashes of a part with ``least`` occurrences or more."""
+
+    def chosen(hashes, counts):
+        found, sums = _summed(hashes, counts)
+        return arrays.batch_of(schema, hash=found[sums >= least].view(np.int64))
+
+    def run(batches):
+        last, hashes, counts = None, [], []
+        for part, h, c in _parts(batches):
+            if hashes and part != last:
+                yield chosen(hashes, counts)
+                hashes, counts = [], []
+            last = part
+            hashes.append(h)
+            counts.append(c)
+        if hashes:
+            yield chosen(hashes, counts)
+
+    return run
+
+
+def often(rows: DataFrame, lengths: tuple[int, ...], least: int, parts: int, shared=None) -> DataFrame:
+    """(hash) of the phrases that may occur ``least`` times or more, for ``least`` up to 255.
+
+    With more than ``_RADIX`` parts the hashes are dealt out in two steps, so that blocks do not get tiny.
+    """
+    block = pa.schema([("part", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    first = min(parts, _RADIX)
+    found = rows.mapInArrow(_hashed(lengths, shared, first, block), _BLOCK)
+    if parts > first:
+        found = found.repartition("part").sortWithinPartitions("part").mapInArrow(_redealt(parts, block), _BLOCK)
+    found = found.repartition("part").sortWithinPartitions("part")
+    return materialize(found.mapInArrow(_often(min(least, 255), pa.schema([("hash", pa.int64())])), "hash long"), "hashes")
+
+
+def _bits(shift: np.uint64, schema: pa.Schema):
+    """(word, bits) of a Bloom filter's words for batches of hashes."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = arrays.text_bytes(batch.column(1))
-            starts, ends, row = arrays.words(data, offsets, WORD)
-            salts = lang_hashes(batch.column(0).to_pylist())
-            ids = arrays.word_hashes(data, starts, ends)
-            heads = np.arange(0, len(ids), length)
-            hashes = phrase_hashes(ids, length, salts[row[: max(len(ids) - length + 1, 0)]])[heads]
-            at = np.concatenate(places(hashes, shift))
+            at = np.concatenate(places(batch.column(0).to_numpy().view(np.uint64), shift))
             word, index = np.unique(at >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(bits, index, np.uint64(1) << (at & np.uint64(63)))
@@ -251,44 +347,99 @@ def _bits(length: int, shift: np.uint64, schema: pa.Schema):
     return run
 
 
-def bloom(frequent: DataFrame, length: int, most_bits: int = FILTER_BITS) -> Filter:
-    """16 bits for each of the frequent phrases, a power of two in all and ``most_bits`` at most."""
-    size = min(most_bits, 1 << max(10, (16 * frequent.count() - 1).bit_length()))
+def bloom(hashes: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
+    """16 bits for each hash, a power of two in all and ``most_bits`` at most."""
+    size = min(most_bits, 1 << max(10, (16 * hashes.count() - 1).bit_length()))
     empty = Filter(size, np.zeros(size // 64, np.uint64))
     ddl, schema = "word long, bits long", pa.schema([("word", pa.int64()), ("bits", pa.int64())])
-    found = frequent.select("lang", "phrase").mapInArrow(_bits(length, empty.shift, schema), ddl)
     # no more rows than the filter has words
-    merged = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    merged = hashes.mapInArrow(_bits(empty.shift, schema), ddl).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     empty.words[merged.column("word").to_numpy()] = merged.column("bits").to_numpy().view(np.uint64)
     return empty
 
 
+# ---- counts ------------------------------------------------------------------------------------
+
+
+def _counter(longest: int, shared, schema: pa.Schema, burst: int, limit: int):
+    """Runs of the phrases that pass the filter; the empty phrase counts all words of a language."""
+
+    def run(batches):
+        trie, totals = HatTrie(longest, burst, limit), Counter()
+
+        def spilled(keep: int) -> Iterator[pa.RecordBatch]:
+            langs, found = [], []
+            for lang, part in trie.spill(keep):
+                langs += [lang] * len(part)
+                found += part
+                if len(found) >= 1 << 15:
+                    yield _run_batch(langs, found, schema)
+                    langs, found = [], []
+            yield _run_batch(langs, found, schema)
+
+        for langs, words in _slices(batches):
+            if not len(words.ids):
+                continue
+            for row, count in enumerate(np.bincount(words.rows).tolist()):
+                if count:
+                    totals[langs[row]] += count
+            text, begins, stops = joined(words.data, words.starts, words.ends)
+            raw, alive = text.tobytes(), None
+            for length in range(1, longest + 1):
+                hashes = words.hashes(length)
+                # a frequent phrase's parts are frequent
+                possible = words.within(length)
+                possible = possible if alive is None else possible & alive[: len(possible)] & alive[1:][: len(possible)]
+                at = np.flatnonzero(possible)
+                at = at[shared.value.has(hashes[at])]
+                alive = np.zeros(len(hashes), bool)
+                alive[at] = True
+                if not len(at):
+                    break
+                _, first, counts = np.unique(hashes[at], return_index=True, return_counts=True)
+                at = at[first]
+                paths = zip(*(words.ids[at + k].tolist() for k in range(length)), strict=True)
+                ends = stops[at + length - 1].tolist()
+                for row, a, b, n, path in zip(words.rows[at].tolist(), begins[at].tolist(), ends, counts.tolist(), paths, strict=True):
+                    trie.add(langs[row], path, raw[a:b], n)
+                    if trie.full():
+                        yield from spilled(limit // 2)
+        yield from spilled(0)
+        yield _run_batch(list(totals), [(b"", n) for n in totals.values()], schema)
+
+    return run
+
+
+def _run_batch(langs: list[str], found: list[tuple[bytes, int]], schema: pa.Schema) -> pa.RecordBatch:
+    phrases = pa.array([p for p, _ in found], pa.binary()).cast(pa.string())
+    return arrays.batch_of(schema, lang=langs, phrase=phrases, f=[n for _, n in found])
+
+
 def frequent_phrases(
     docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", burst: int = BURST, limit: int = LIMIT,
-    filter_bits: int = FILTER_BITS,
-) -> tuple[list[DataFrame], DataFrame]:
-    """([(lang, phrase, f) of one word, of two, ...], (lang, n)): phrases that occur ``least`` times or more, and words by language."""
+    filter_bits: int = FILTER_BITS, part_bytes: int = PART_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, f), (lang, n)): phrases that occur ``least`` times or more, and the words of a language."""
     ship_package()
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, scratch_mark()
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    parts = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // part_bytes)
+    hashes = often(rows, tuple(range(1, min(longest, 2) + 1)), least, parts)
+    if longest > 2:
+        shared = spark.sparkContext.broadcast(bloom(hashes, filter_bits))
+        hashes = hashes.unionByName(often(rows, tuple(range(3, longest + 1)), least, parts, shared))
+        shared.unpersist()
+    shared = spark.sparkContext.broadcast(bloom(hashes, filter_bits))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-    levels: list[DataFrame] = []
-    totals, shared = None, None
-    for length in range(1, longest + 1):
-        if levels:
-            shared = spark.sparkContext.broadcast(bloom(levels[-1], length - 1, filter_bits))
-        since = scratch_mark()
-        runs = materialize(rows.mapInArrow(_counter(length, shared, schema, burst, limit), _RUN), "runs")
-        until = scratch_mark()
-        if totals is None:
-            totals = materialize(runs.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-        ranges = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-        merged = ranges.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-        levels.append(materialize(merged, "frequent"))
-        drop_scratch(spark, since, until)
-        if shared is not None:
-            shared.unpersist()
-    return levels, totals
+    runs = materialize(rows.mapInArrow(_counter(longest, shared, schema, burst, limit), _RUN), "runs")
+    until = scratch_mark()
+    totals = materialize(runs.filter("phrase = ''").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    ranges = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
+    merged = ranges.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) & (F.col("phrase") != ""))
+    merged = materialize(merged, "frequent")
+    drop_scratch(spark, since, until)
+    shared.unpersist()
+    return merged, totals
 
 
 def _exact(value: Column) -> Column:
@@ -305,10 +456,7 @@ def collocations(
     floor(scale * a / (l + r)), the first among equals, gives the score. Phrases inside a longer one that has at least ``cover`` per
     cent of their count are left out.
     """
-    levels, totals = frequent_phrases(docs, longest, least, text_col, lang_col, **counting)
-    counts = levels[0]
-    for level in levels[1:]:
-        counts = counts.unionByName(level)
+    counts, totals = frequent_phrases(docs, longest, least, text_col, lang_col, **counting)
     words = F.split("phrase", " ", -1)
     some = counts.withColumn("words", words).withColumn("m", F.size("words")).filter("m > 1")
     part = lambda first, size: F.concat_ws(" ", F.slice("words", first, size))

@@ -81,7 +81,7 @@ def plain_collocations(rows, longest, least, scale, cover, top):
     return sorted(found)
 
 
-@pytest.mark.parametrize(("least", "top", "counting"), [(4, 2000, {}), (2, 7, {"burst": 3, "limit": 40, "filter_bits": 1 << 10}), (30, 2000, {})])
+@pytest.mark.parametrize(("least", "top", "counting"), [(4, 2000, {}), (2, 7, {"burst": 3, "limit": 40, "filter_bits": 1 << 10, "part_bytes": 64}), (30, 2000, {})])
 def test_collocations(docs, rows, least, top, counting):
     found = phrases.collocations(docs, least=least, top=top, **counting)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -92,6 +92,12 @@ def test_collocations_of_nothing(nothing):
     assert phrases.collocations(nothing).count() == 0
 
 
+def test_hashes_in_two_steps(docs, rows, monkeypatch):
+    monkeypatch.setattr(phrases, "_RADIX", 3)
+    found = phrases.collocations(docs, least=4, part_bytes=256)
+    assert sorted(map(tuple, found.collect())) == plain_collocations(rows, 4, 4, 2_000_000, 80, 2000)
+
+
 def test_slices_end_with_pieces(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 64)
     text = "a b c. " * 200 + "d " * 300
