@@ -361,6 +361,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_t
     named = pairs.select(F.col("a").alias("named")).unionByName(pairs.select(F.col("b").alias("named"))).distinct()
     ids = materialize(named, "ids")
     ddl = f"id {id_type}, size long, point binary, grams array<bigint>"
+    # ids are few against texts: broadcast while they are, so that texts are not shuffled
     texts = docs.join(small_side(ids, SMALL), F.col("id") == F.col("named"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(n, _arrow(ddl)), ddl), "sets")
     close = materialize(_within_bound(pairs, sets.select("id", "size", "point"), num, den, FINE, id_type), "close")

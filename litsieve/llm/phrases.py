@@ -1,7 +1,7 @@
 """Phrase collocations, counted in HAT-tries.
 
-A task reads its texts into a trie whose inner nodes branch by word id (the word's hash) and whose leaves are hash containers of phrases
-of 1 to ``longest`` words; a container that grows beyond ``BURST`` phrases bursts into a node with a container for each next word. When
+A task reads its texts into a trie whose inner nodes branch by word ids (hashes), a byte at a time, and whose leaves are hash containers of
+phrases of 1 to ``longest`` words; a container that grows beyond ``BURST`` phrases bursts into a node with containers for the next byte. When
 the trie holds more than ``LIMIT`` phrases, whole subtrees below the root, the largest first, are spilled as runs sorted by
 phrase until half of it is left. The runs of all tasks are written, cut into partitions by ranges of prefixes (a frequent
 prefix spreads over several) and merged there.
@@ -35,7 +35,7 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORD = arrays.byte_table(BREAKS + " \t")
 _BREAK = ~arrays.byte_table(BREAKS)
 #: Phrases of a container, and of a trie.
-BURST, LIMIT = 4096, 300_000
+BURST, LIMIT = 4096, 800_000
 FILTER_BITS = 1 << 27
 #: Text bytes that are worked on at once.
 SLICE = 2 << 20
@@ -48,33 +48,30 @@ _BLOCK = "part long, hashes binary, counts binary"
 
 
 class HatTrie:
-    """Counts of phrases of at most ``longest`` words; ``root`` maps (language, word id) to a container or a node.
+    """Counts of phrases of at most ``longest`` words: a shallow trie over word ids above hash containers.
 
-    A node's child 0 holds the phrases that end there.
+    A path is two bytes of each word's id in turn, and a node branches by one of them, so a container holds the phrases of many
+    words until it bursts. The subtrees below the root are those of a language and a first byte.
     """
 
     def __init__(self, longest: int, burst: int = BURST, limit: int = LIMIT) -> None:
-        self.longest, self.burst, self.limit = longest, burst, limit
+        self.depth, self.burst, self.limit = 2 * longest, burst, limit
         self.root: dict[tuple[str, int], Container | Node] = {}
         self.held = 0
 
-    def add(self, lang: str, path: tuple[int, ...], phrase: bytes, count: int) -> None:
-        """``path`` holds the ids of the phrase's words."""
-        key = (lang, path[0])
-        below = self.root.get(key)
-        if below is None:
-            below = self.root[key] = Container()
-        depth, holder, name = 1, self.root, key
-        while isinstance(below, Node):
-            holder, name = below.children, path[depth] if depth < len(path) else 0
+    def add(self, lang: str, path: bytes, phrase: bytes, count: int) -> None:
+        holder, name, depth = self.root, (lang, path[0]), 1
+        below = holder.get(name)
+        while type(below) is Node:
+            holder, name = below.children, path[depth] if depth < len(path) else -1
             below, depth = holder.get(name), depth + 1
-            if below is None:
-                below = holder[name] = Container()
+        if below is None:
+            below = holder[name] = Container()
         old = below.counts.get(phrase)
         if old is None:
             self.held += 1
             below.counts[phrase] = count
-            if len(below.counts) > self.burst and depth < self.longest and name != 0:
+            if len(below.counts) > self.burst and depth < self.depth and name != -1:
                 holder[name] = below.split(depth)
         else:
             below.counts[phrase] = old + count
@@ -93,6 +90,8 @@ class HatTrie:
 
 
 class Container:
+    __slots__ = ("counts",)
+
     def __init__(self) -> None:
         self.counts: dict[bytes, int] = {}
 
@@ -103,24 +102,26 @@ class Container:
         return iter(self.counts.items())
 
     def split(self, depth: int) -> Node:
-        """A node with a container for each word that follows the first ``depth``."""
+        """A node with a container for each byte at ``depth`` of the paths; child -1 has the phrases that end before."""
         node = Node()
         data, offsets = arrays.text_bytes(pa.array(list(self.counts), pa.large_binary()).cast(pa.large_string()))
         starts, ends, rows = arrays.words(data, offsets, WORD)
         ids = arrays.word_hashes(data, starts, ends)
         first = np.searchsorted(rows, np.arange(len(self.counts) + 1))
-        more = np.diff(first) > depth
-        following = np.zeros(len(self.counts), np.uint64)
-        following[more] = ids[first[:-1][more] + depth]
-        for word, (phrase, count) in zip(following.tolist(), self.counts.items(), strict=True):
-            below = node.children.get(word)
+        more = np.diff(first) > depth // 2
+        following = np.full(len(self.counts), -1, np.int64)
+        following[more] = path_bytes(ids[first[:-1][more] + depth // 2])[:, depth % 2]
+        for byte, (phrase, count) in zip(following.tolist(), self.counts.items(), strict=True):
+            below = node.children.get(byte)
             if below is None:
-                below = node.children[word] = Container()
+                below = node.children[byte] = Container()
             below.counts[phrase] = count
         return node
 
 
 class Node:
+    __slots__ = ("children",)
+
     def __init__(self) -> None:
         self.children: dict[int, Container | Node] = {}
 
@@ -132,6 +133,11 @@ class Node:
             yield from below.phrases()
 
 
+def path_bytes(ids: np.ndarray) -> np.ndarray:
+    """(words, 2): the two highest bytes of each word's id."""
+    return np.stack([(ids >> np.uint64(56)).astype(np.uint8), (ids >> np.uint64(48)).astype(np.uint8)], axis=1)
+
+
 class Filter:
     """A Bloom filter with two bits for a hash."""
 
@@ -398,7 +404,8 @@ def _counter(longest: int, shared, schema: pa.Schema, burst: int, limit: int):
                     break
                 _, first, counts = np.unique(hashes[at], return_index=True, return_counts=True)
                 at = at[first]
-                paths = zip(*(words.ids[at + k].tolist() for k in range(length)), strict=True)
+                steps = np.concatenate([path_bytes(words.ids[at + k]) for k in range(length)], axis=1).tobytes()
+                paths = [steps[k : k + 2 * length] for k in range(0, len(steps), 2 * length)]
                 ends = stops[at + length - 1].tolist()
                 for row, a, b, n, path in zip(words.rows[at].tolist(), begins[at].tolist(), ends, counts.tolist(), paths, strict=True):
                     trie.add(langs[row], path, raw[a:b], n)
@@ -431,7 +438,9 @@ def frequent_phrases(
         shared.unpersist()
     shared = spark.sparkContext.broadcast(bloom(hashes, filter_bits))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-    runs = materialize(rows.mapInArrow(_counter(longest, shared, schema, burst, limit), _RUN), "runs")
+    # a trie for much text meets a phrase once where tries for little would each write it: two for a core, not one for a split
+    wide = rows.coalesce(2 * spark.sparkContext.defaultParallelism)
+    runs = materialize(wide.mapInArrow(_counter(longest, shared, schema, burst, limit), _RUN), "runs")
     until = scratch_mark()
     totals = materialize(runs.filter("phrase = ''").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     ranges = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")

@@ -108,17 +108,18 @@ def test_slices_end_with_pieces(spark, monkeypatch):
 
 
 def test_trie_bursts_and_spills():
-    trie = phrases.HatTrie(2, burst=2, limit=5)
-    ids = {w: int(h) for w, h in zip("abcde", _ids("abcde"), strict=True)}
+    trie = phrases.HatTrie(2, burst=2, limit=6)
+    path = {w: phrases.path_bytes(h[None]).tobytes() for w, h in zip("abcde", _ids("abcde"), strict=True)}
     for w in "bcde":
-        trie.add("x", (ids["a"], ids[w]), f"a {w}".encode(), 1)
-    assert isinstance(trie.root["x", ids["a"]], phrases.Node)
-    trie.add("x", (ids["a"], ids["c"]), b"a c", 4)
-    trie.add("x", (ids["b"], ids["c"]), b"b c", 1)
-    trie.add("y", (ids["b"], ids["c"]), b"b c", 1)
+        trie.add("x", path["a"] + path[w], f"a {w}".encode(), 1)
+    assert isinstance(trie.root["x", path["a"][0]], phrases.Node)
+    trie.add("x", path["a"], b"a", 9)
+    trie.add("x", path["a"] + path["c"], b"a c", 4)
+    trie.add("x", path["b"] + path["c"], b"b c", 1)
+    trie.add("y", path["b"] + path["c"], b"b c", 1)
     assert trie.full()
     # the largest subtree goes whole and sorted
-    assert list(trie.spill(2)) == [("x", [(b"a b", 1), (b"a c", 5), (b"a d", 1), (b"a e", 1)])]
+    assert list(trie.spill(2)) == [("x", [(b"a", 9), (b"a b", 1), (b"a c", 5), (b"a d", 1), (b"a e", 1)])]
     assert trie.held == 2 and sorted(trie.spill(0)) == [("x", [(b"b c", 1)]), ("y", [(b"b c", 1)])]
 
 
