@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from litsieve.llm import arrays
 from litsieve.llm.components import connected_components
-from litsieve.session import materialize, ship_package, small_side
+from litsieve.session import drop_scratch, materialize, scratch_mark, ship_package, small_side
 
 #: Coordinates of a point, and of the finer point that a pair is tried on before its sets are compared.
 GROUPS = 64
@@ -40,7 +40,8 @@ FINE = 1024
 FANOUT = 32
 #: Rows of a block of a subtree.
 BLOCK = 4096
-#: Bytes (rows times width) that may be broadcast here; the hashed form takes about five times as much.
+#: Bytes (rows times width) of ids that may be broadcast; the hashed form takes about five times as much. All other
+#: joins are left to Spark's own sizes.
 SMALL = 8 << 20
 #: Counters of a row of the sketch, as a power of 2.
 SKETCH_BITS = 20
@@ -390,16 +391,26 @@ def jaccard_links(
     id_type = rows.schema["id"].dataType.simpleString()
     bitmap = spark.sparkContext.broadcast(frequent(rows.select("text"), n))
     ddl = f"id {id_type}, size long, p1 long, p2 long, point binary, keys array<bigint>"
+    since = scratch_mark()
     points = materialize(rows.mapInArrow(_points(n, num, den, bitmap, SKETCH_BITS, _arrow(ddl)), ddl), "points")
     same = ["size", "p1", "p2"]
     linkable = points.filter("size > 0 AND id IS NOT NULL")
     classes = materialize(linkable.groupBy(same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    until = scratch_mark()
     # joined by the id as well, so that a large class is spread
     chosen = linkable.join(classes.select(*same, F.col("rep").alias("id")), ["id", *same], "left_semi").dropDuplicates(["id", *same])
     known = materialize(chosen.select("id", "size", "point", "keys"), "chosen")
+    copied = classes.filter("copies > 1").select(*(F.col(c).alias(f"c_{c}") for c in same), "rep")
+    match = (F.col("size") == F.col("c_size")) & (F.col("p1") == F.col("c_p1")) & (F.col("p2") == F.col("c_p2"))
+    members = points.select("id", *same).join(copied, match & F.col("id").isNotNull(), "left")
+    members = materialize(members.select("id", "size", F.coalesce("rep", "id").alias("rep")), "members")
+    drop_scratch(spark, since, until)
+    bitmap.unpersist()
+
+    inner = scratch_mark()
     listed = known.select(F.explode("keys").alias("key"), "id")
-    counted = materialize(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counted")
-    subtrees = materialize(listed.join(small_side(counted, SMALL), "key"), "subtrees")
+    counted = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    subtrees = materialize(listed.join(counted, "key"), "subtrees")
     known = known.select("id", "size", "point")
     texts = rows.filter("id IS NOT NULL")
 
@@ -408,16 +419,14 @@ def jaccard_links(
     heads = subtrees.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", "id")).getField("id").alias("head"))
     star = subtrees.join(heads, "key").filter("id <> head")
     star = star.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    near = materialize(_within_bound(star, known, num, den, GROUPS, id_type), "near")
-    links = materialize(verified(texts, near, n, num, den, id_type), "links")
+    links = _verified_links(texts, _within_bound(star, known, num, den, GROUPS, id_type), n, num, den, id_type)
 
     # what is then still apart within a subtree, in blocks
     parts = connected_components(links)
     labelled = subtrees.join(parts, F.col("id") == F.col("node"), "left")
     labelled = materialize(labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
     apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = materialize(apart.filter("low <> high").select("key"), "apart")
-    rest = labelled.join(small_side(apart, SMALL), "key").join(known, "id")
+    rest = labelled.join(apart.filter("low <> high").select("key"), "key").join(known, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -428,13 +437,20 @@ def jaccard_links(
     ddl = f"a {id_type}, b {id_type}"
     placed = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = placed.mapInArrow(_crossed(num, den, _arrow(ddl)), ddl).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = materialize(near.distinct(), "near")
-    more = materialize(verified(texts, near, n, num, den, id_type), "links")
+    more = _verified_links(texts, near.distinct(), n, num, den, id_type)
+    links = materialize(links.unionByName(more), "all-links")
+    drop_scratch(spark, inner, scratch_mark() - 1)
+    return members, links
 
-    copied = classes.filter("copies > 1").select(*(F.col(c).alias(f"c_{c}") for c in same), "rep")
-    match = (F.col("size") == F.col("c_size")) & (F.col("p1") == F.col("c_p1")) & (F.col("p2") == F.col("c_p2"))
-    members = points.select("id", *same).join(small_side(copied, SMALL), match & F.col("id").isNotNull(), "left")
-    return members.select("id", "size", F.coalesce("rep", "id").alias("rep")), links.unionByName(more)
+
+def _verified_links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int, id_type: str) -> DataFrame:
+    """The links among candidate pairs, written; the tables on the way to them are removed."""
+    since = scratch_mark()
+    found = verified(texts, materialize(pairs, "near"), n, num, den, id_type)
+    until = scratch_mark()
+    links = materialize(found, "links")
+    drop_scratch(texts.sparkSession, since, until)
+    return links
 
 
 def jaccard_components(
@@ -443,5 +459,5 @@ def jaccard_components(
     """(id, n_ngrams, component) of every row: the smallest id that its links lead to."""
     members, links = jaccard_links(docs, n, num, den, id_col, text_col)
     parts = materialize(connected_components(links), "components")
-    joined_ = members.join(small_side(parts, SMALL), F.col("rep") == F.col("node"), "left")
+    joined_ = members.join(parts, F.col("rep") == F.col("node"), "left")
     return joined_.select(F.col("id").alias(id_col), F.col("size").alias("n_ngrams"), F.coalesce("component", "rep").alias("component"))
