@@ -28,6 +28,8 @@ from litsieve.session import materialize
 
 #: Rows of the fit at most, about.
 MAX_TRAIN = 20_000
+#: Files of the rows of the fit.
+TRAIN_FILES = 4
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -143,7 +145,9 @@ def train_rows(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str,
     marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     joined = materialize(stats.join(marks, F.col("id") == F.col("label_id")).select("id", *NAMES, "label"), "labelled")
     share = min(1.0, max_train / max(1, joined.count()))
-    return joined.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = joined.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # bounded by max_train, so few files: every step of the fit is a job over them
+    return materialize(chosen.coalesce(TRAIN_FILES), "train")
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
