@@ -146,11 +146,21 @@ def _filesystem(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def id_width(tokenizer: str) -> pa.DataType:
-    """Two bytes where they hold every id of the vocabulary and the end id, else four."""
-    from tokenizers import Tokenizer
+def _vocabulary(tokenizer: str):
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        for batch in batches:
+            size = Tokenizer.from_file(tokenizer).get_vocab_size()
+            yield pa.RecordBatch.from_arrays([pa.array([size] * batch.num_rows, pa.int64())], names=["size"])
+
+    return run
+
 
-    return pa.uint16() if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else pa.uint32()
+def id_width(spark: SparkSession, tokenizer: str) -> pa.DataType:
+    """Two bytes where they hold every id of the vocabulary and the end id, else four; an executor reads the file."""
+    size = spark.range(1, numPartitions=1).mapInArrow(_vocabulary(tokenizer), "size long").first()["size"]
+    return pa.uint16() if size <= 1 << 16 else pa.uint32()
 
 
 def file_schema(id_type: pa.DataType, length: int, width: pa.DataType) -> pa.Schema:
@@ -249,7 +259,7 @@ def write_tokens(
     root = path or scratch_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    width = pa.uint32() if end_id >= 1 << 16 else id_width(tokenizer)
+    width = pa.uint32() if end_id >= 1 << 16 else id_width(docs.sparkSession, tokenizer)
     schema = file_schema(_id_type(rows), length, width)
     manifest = ordered.mapInArrow(_writer(root, tokenizer, end_id, length, schema), _MANIFEST)
     return root, materialize(manifest, "files")
