@@ -35,12 +35,12 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORD = arrays.byte_table(BREAKS + " \t")
 _BREAK = ~arrays.byte_table(BREAKS)
 #: Phrases of a container, and of a trie.
-BURST, LIMIT = 4096, 800_000
+BURST, LIMIT = 4096, 500_000
 FILTER_BITS = 1 << 27
 #: Text bytes that are worked on at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Hashes that a task holds before it sends them, and text bytes whose hashes make one part.
-_HELD, PART_BYTES = 3 << 20, 64 << 20
+_HELD, PART_BYTES = 1 << 20, 16 << 20
 #: Parts that hashes are dealt out to in one step.
 _RADIX = 4096
 _RUN = "lang string, phrase string, f long"
@@ -291,7 +291,7 @@ def _redealt(parts: int, schema: pa.Schema):
     def run(batches):
         last, hashes, counts, size = None, [], [], 0
         for part, h, c in _parts(batches):
-            if size and (part != last or size >= 8 * _HELD):
+            if size and (part != last or size >= 4 * _HELD):
                 yield _dealt(*_summed(hashes, counts), parts, schema)
                 hashes, counts, size = [], [], 0
             last, size = part, size + len(h)
