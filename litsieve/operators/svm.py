@@ -1,36 +1,27 @@
-"""Class-weighted RBF SVM: random Fourier features (Rahimi & Recht 2007) + ``LinearSVC``.
+"""Class-weighted RBF SVM: random Fourier features (Rahimi & Recht 2007) and linear SVMs on them.
 
-Spark has no kernel SVM; the feature map approximates the kernel and the linear fit scales
-with the rows. Two solvers share the feature map, the class weights and the meaning of cost:
-
-- ``hinge``: ``LinearSVC``, tens of passes over the rows per fit; for single models and curves;
-- ``least_squares``: the least-squares SVM (Suykens & Vandewalle 1999) by normal equations, one
-  pass per fit; for grids of many fits.
+Spark has no kernel SVM; the feature map approximates the kernel and the linear fits scale with the rows. Single models, curves,
+grids and tuning all use the same fits (``operators.hinge``): every combination of kernel width, cost and train rows is
+fitted side by side on features that are computed and cached once.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.functions.keys import FOLD_SEED
+from litsieve.operators import hinge
 from litsieve.operators.split import fold_column
-from litsieve.session import compact, ship_package
+from litsieve.session import ship_package
 
 COMPONENTS = 256
-PARALLELISM = 8
-TOLERANCE = 1e-3  # the stopping tolerance of the usual SVM libraries
 
 
 @dataclass(frozen=True)
@@ -53,132 +44,143 @@ def fit_scaling(vectors: DataFrame, n_features: int) -> Scaling:
     return Scaling(mean, np.sqrt(np.maximum(variance, 0.0)))
 
 
-def random_weights(n_features: int, gamma: float, components: int, seed: int):
+def random_weights(n_features: int, components: int, seed: int):
+    """Directions of a kernel of width 1, and shifts."""
     rng = np.random.default_rng(seed)
-    weights = rng.standard_normal((n_features, components)) * np.sqrt(2.0 * gamma)
-    return weights, rng.uniform(0.0, 2.0 * np.pi, components)
+    return rng.standard_normal((n_features, components)), rng.uniform(0.0, 2.0 * np.pi, components)
 
 
-def fourier_features(
-    scaling: Scaling, gamma: float, components: int = COMPONENTS, seed: int = 42, chunk: int = 256
-):
-    """Column function (idx, val) -> array of ``components`` features.
+def dense_rows(idx: pd.Series, val: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(idx), width))
+    rows = np.repeat(np.arange(len(idx)), idx.str.len().to_numpy(dtype=np.int64))
+    if len(rows):
+        out[rows, np.concatenate(idx.to_list())] = np.concatenate(val.to_list())
+    return out
 
-    The random matrix is drawn again in each task from the seed instead of being shipped.
-    Constant terms are dropped. Centring becomes a shift, so rows stay sparse.
-    """
 
-    ship_package()
-
-    @F.pandas_udf("array<double>")
-    def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        weights, shift = random_weights(len(scaling.mean), gamma, components, seed)
-        used = scaling.sd > 0
-        inverse = np.where(used, 1.0 / np.where(used, scaling.sd, 1.0), 0.0)
-        weights = weights * inverse[:, None]
-        shift = shift - scaling.mean @ weights
-        factor = np.sqrt(2.0 / components)
-        for idx, val in batches:
-            out = []
-            for start in range(0, len(idx), chunk):
-                part = range(start, min(start + chunk, len(idx)))
-                dense = np.zeros((len(part), len(weights)))
-                for row, at in enumerate(part):
-                    dense[row, idx.iloc[at]] = val.iloc[at]
-                out.extend(factor * np.cos(dense @ weights + shift))
-            yield pd.Series(out, dtype=object)
-
-    return project
+class FourierMap:
+    """Features of sparse rows for several kernel widths, from one projection.
 
+    The random matrix is drawn again in each task from the seed instead of being shipped. Constant terms are dropped. Centring
+    becomes a shift, so rows stay sparse.
+    """
 
-def _weighted(vectors: DataFrame, train: Column) -> tuple[DataFrame, float, dict]:
-    """Train rows with label and inverse-frequency weight; the sum of weights; class sizes."""
-    rows = vectors.filter(train)
-    sizes = {r["flag"]: r["n"] for r in rows.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).collect()}
-    smallest = min(sizes.values(), default=0)
-    weight = F.when(F.col("flag"), smallest / sizes.get(True, 1)).otherwise(smallest / sizes.get(False, 1))
-    return rows.withColumn("weight", weight), float(smallest * len(sizes)), sizes
+    def __init__(self, scaling: Scaling, gammas: Sequence[float], components: int = COMPONENTS, seed: int = 42) -> None:
+        self.scaling, self.gammas, self.components, self.seed = scaling, tuple(gammas), components, seed
+        self._drawn: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
+    def __getstate__(self):
+        return self.__dict__ | {"_drawn": None}
 
-def _classifier(solver: str, cost: float, total_weight: float, max_iter: int):
-    penalty = 1.0 / (cost * total_weight)
-    common = dict(featuresCol="features", weightCol="weight", regParam=penalty, standardization=False)
-    if solver == "least_squares":
-        return LinearRegression(labelCol="sign", solver="auto", **common)
-    return LinearSVC(labelCol="label", maxIter=max_iter, tol=TOLERANCE, **common)
+    def __call__(self, idx: pd.Series, val: pd.Series) -> list[np.ndarray]:
+        if self._drawn is None:
+            weights, shift = random_weights(len(self.scaling.mean), self.components, self.seed)
+            used = self.scaling.sd > 0
+            weights = weights * np.where(used, 1.0 / np.where(used, self.scaling.sd, 1.0), 0.0)[:, None]
+            self._drawn = weights, self.scaling.mean @ weights, shift
+        weights, centre, shift = self._drawn
+        projected = dense_rows(idx, val, len(weights)) @ weights - centre
+        factor = np.sqrt(2.0 / self.components)
+        return [factor * np.cos(np.sqrt(2.0 * gamma) * projected + shift) for gamma in self.gammas]
 
 
-def _positive(solver: str, prediction: str) -> Column:
-    return F.col(prediction) >= 0 if solver == "least_squares" else F.col(prediction) == 1.0
+def _report(fits: Sequence[hinge.Fit], states: Sequence[hinge.State | None]) -> None:
+    """Says which fits have stopped before they met the tolerance."""
+    left = [f"cost {f.cost:g}" for f, s in zip(fits, states, strict=True) if s is not None and not s.converged]
+    if left:
+        warnings.warn(f"{len(left)} of {len(fits)} SVM fits have not converged: {', '.join(left[:5])}", stacklevel=3)
 
 
-class _Accuracy(Evaluator):
-    """Share of rows on the right side of zero."""
+def _scorer(project: FourierMap, weights: list[np.ndarray], spaces: list[int], chunk: int = 1024):
+    """Column function (idx, val) -> whether each fit says TRUE."""
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        right = ((F.col("prediction") >= 0) == F.col("flag")).cast("double")
-        return dataset.agg(F.coalesce(F.avg(right), F.lit(0.0))).first()[0]
+    @F.pandas_udf("array<boolean>")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for idx, val in batches:
+            out: list[np.ndarray] = []
+            for start in range(0, len(idx), chunk):
+                found = project(idx.iloc[start : start + chunk], val.iloc[start : start + chunk])
+                margins = [found[k] @ w[:-1] + w[-1] for k, w in zip(spaces, weights, strict=True)]
+                out.extend(np.stack(margins, axis=1) >= 0)
+            yield pd.Series(out, dtype=object)
 
-    def isLargerBetter(self) -> bool:
-        return True
+    return score
 
 
 def svm_predictions(
     vectors: DataFrame,
     n_features: int,
     points: Sequence[Mapping[str, float]],
-    train: Column,
+    train: Column | Sequence[Column],
     components: int = COMPONENTS,
     max_iter: int = 100,
     seed: int = 42,
-    solver: str = "hinge",
 ) -> DataFrame:
-    """``vectors`` columns + cost, gamma, predicted for each point of ``points``.
+    """``vectors`` columns + cost, gamma, predicted for each point of ``points``; with a list of train rows also ``subset``, its number.
 
-    One feature map per gamma; the fits of one gamma run side by side on the same cached
-    features, and one pass scores all of them. With one class in train nothing is fitted and
-    the predictions are null.
+    All fits share features that are scaled by the train rows of any subset. Where train rows lack a class nothing is fitted and
+    the predictions are null. Fits that end without meeting the tolerance are reported as a warning.
     """
-    label = F.col("flag").cast("double")
-    labels = (label.alias("label"), (label * 2 - 1).alias("sign"))
-    rows, total_weight, sizes = _weighted(vectors, train)
+    ship_package()
+    subsets = [train] if isinstance(train, Column) else list(train)
+    marked = vectors.withColumn("member", hinge.member_bits(subsets))
     keep = [c for c in vectors.columns if c not in ("idx", "val")]
-    if len(sizes) < 2:
-        grid = F.array(*(F.struct(F.lit(float(p["cost"])).alias("cost"), F.lit(float(p["gamma"])).alias("gamma")) for p in points))
-        return vectors.select(*keep, F.inline(grid), F.lit(None).cast("boolean").alias("predicted"))
-    scaling = fit_scaling(rows, n_features)
-    parts = []
-    for gamma in sorted({p["gamma"] for p in points}):
-        project = fourier_features(scaling, gamma, components, seed)
-        features = array_to_vector(project("idx", "val")).alias("features")
-        costs = [p["cost"] for p in points if p["gamma"] == gamma]
-        cached = compact(rows, sum(sizes.values())).select(features, *labels, "weight").persist()
-        cached.count()
-        fit = lambda cost: _classifier(solver, cost, total_weight, max_iter).fit(cached)
-        with ThreadPool(min(PARALLELISM, len(costs))) as pool:
-            models = pool.map(fit, costs)
-        cached.unpersist()
-        scored = vectors.select(*keep, features)
-        for i, model in enumerate(models):
-            model.setPredictionCol(f"p{i}")
-            if solver == "hinge":
-                model.setRawPredictionCol("")
-            scored = model.transform(scored)
-        outcome = F.array(
-            *(
-                F.struct(
-                    F.lit(float(cost)).alias("cost"),
-                    F.lit(float(gamma)).alias("gamma"),
-                    _positive(solver, f"p{i}").alias("predicted"),
-                )
-                for i, cost in enumerate(costs)
+    gammas = sorted({float(p["gamma"]) for p in points})
+    fits = [hinge.Fit(gammas.index(float(p["gamma"])), k, float(p["cost"])) for k in range(len(subsets)) for p in points]
+    sizes = hinge.subset_sizes(marked, len(subsets))
+    project = FourierMap(fit_scaling(marked.filter("member <> 0"), n_features), gammas, components, seed)
+    blocks = hinge.feature_blocks(marked.filter("member <> 0"), project).persist()
+    states = hinge.solve(blocks, fits, sizes, max_passes=max_iter)
+    blocks.unpersist()
+    _report(fits, states)
+    live = [i for i, s in enumerate(states) if s is not None]
+    told = _scorer(project, [states[i].w for i in live], [fits[i].space for i in live])("idx", "val") if live else None
+    outcome = F.array(
+        *(
+            F.struct(
+                F.lit(f.subset).alias("subset"),
+                F.lit(f.cost).alias("cost"),
+                F.lit(gammas[f.space]).alias("gamma"),
+                (F.get("told", F.lit(live.index(i))) if i in live else F.lit(None).cast("boolean")).alias("predicted"),
             )
+            for i, f in enumerate(fits)
         )
-        parts.append(scored.select(*keep, F.inline(outcome)))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    )
+    scored = vectors.withColumn("told", told) if live else vectors
+    found = scored.select(*keep, F.inline(outcome))
+    return found.drop("subset") if isinstance(train, Column) else found
+
+
+def svm_tallies(
+    parts: Sequence[tuple[DataFrame, int]],
+    points: Sequence[Mapping[str, float]],
+    subsets: Sequence[Column],
+    components: int = COMPONENTS,
+    seed: int = 42,
+) -> list[dict]:
+    """For each part (vectors, n_features), point and subset of train rows: tp, fp, fn, tn on the part's other rows.
+
+    Everything is fitted in one go: features of all parts and kernel widths are cached together.
+    """
+    gammas = sorted({float(p["gamma"]) for p in points})
+    fits, keys, blocks, sizes = [], [], None, []
+    for number, (vectors, n_features) in enumerate(parts):
+        marked = vectors.withColumn("member", hinge.member_bits(subsets))
+        sizes.append(hinge.subset_sizes(marked, len(subsets)))
+        own = hinge.feature_blocks(marked, FourierMap(fit_scaling(vectors, n_features), gammas, components, seed), number * len(gammas))
+        blocks = own if blocks is None else blocks.unionByName(own)
+        for k in range(len(subsets)):
+            for p in points:
+                fits.append(hinge.Fit(number * len(gammas) + gammas.index(float(p["gamma"])), number * len(subsets) + k, float(p["cost"])))
+                keys.append({"part": number, "subset": k, "cost": float(p["cost"]), "gamma": float(p["gamma"])})
+    # the subsets are the same bits in every part, whose rows have spaces of their own
+    sized = np.concatenate(sizes)
+    blocks = blocks.persist()
+    states = hinge.solve(blocks, fits, sized, bits=len(subsets))
+    found = hinge.tallies(blocks, fits, states, bits=len(subsets))
+    blocks.unpersist()
+    _report(fits, states)
+    return [key | dict(zip(("tp", "fp", "fn", "tn"), map(int, row), strict=True)) for key, row in zip(keys, found, strict=True)]
 
 
 def svm_grid(
@@ -190,35 +192,14 @@ def svm_grid(
     components: int = COMPONENTS,
     seed: int = 42,
 ) -> DataFrame:
-    """Cross-validated error per (gamma, cost), least-squares solver: one row per grid point."""
-    spark = vectors.sparkSession
-    scaling = fit_scaling(vectors, n_features)
-    rows, total_weight, sizes = _weighted(vectors, F.lit(True))
-    total_weight *= (folds - 1) / folds
+    """Cross-validated error per (gamma, cost): one row per grid point."""
+    points = [{"cost": c, "gamma": g} for g in gammas for c in costs]
+    fold = fold_column(folds, FOLD_SEED)
+    cells = svm_tallies([(vectors, n_features)], points, [fold != f for f in range(folds)], components, seed)
     result = []
-    for gamma in gammas:
-        project = fourier_features(scaling, gamma, components, seed)
-        cached = compact(rows, sum(sizes.values())).select(
-            array_to_vector(project("idx", "val")).alias("features"),
-            "flag",
-            (F.col("flag").cast("double") * 2 - 1).alias("sign"),
-            "weight",
-            fold_column(folds, FOLD_SEED).alias("fold"),
-        ).persist()
-        model = _classifier("least_squares", costs[0], total_weight, 0)
-        penalties = [1.0 / (c * total_weight) for c in costs]
-        search = CrossValidator(
-            estimator=model,
-            estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, penalties).build(),
-            evaluator=_Accuracy(),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=PARALLELISM,
-        )
-        found = search.fit(cached)
-        cached.unpersist()
-        result += [
-            (float(gamma), float(c), float(1.0 - a), float(d))
-            for c, a, d in zip(costs, found.avgMetrics, found.stdMetrics)
-        ]
-    return spark.createDataFrame(result, "gamma double, cost double, error double, dispersion double")
+    for g in gammas:
+        for c in costs:
+            own = [x for x in cells if x["gamma"] == g and x["cost"] == c]
+            shares = [(x["fp"] + x["fn"]) / n for x in own if (n := x["tp"] + x["fp"] + x["fn"] + x["tn"])]
+            result.append((float(g), float(c), float(np.mean(shares)) if shares else None, float(np.std(shares)) if shares else None))
+    return vectors.sparkSession.createDataFrame(result, "gamma double, cost double, error double, dispersion double")

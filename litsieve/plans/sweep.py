@@ -12,7 +12,7 @@ from litsieve.operators.bayes import Variant, naive_bayes
 from litsieve.operators.knn import knn_votes
 from litsieve.operators.metrics import confusion_metrics, contingency, series
 from litsieve.operators.split import fold_column
-from litsieve.operators.svm import svm_predictions
+from litsieve.operators.svm import svm_predictions, svm_tallies
 from litsieve.plans.dataset import Dataset, VectorSet, vectors
 
 # The points of each curve.
@@ -130,6 +130,8 @@ def curve_metrics(
         ]
         return reduce(DataFrame.unionByName, points)
     rows = vectors(data, level)
+    if curve == "learning_curve" and model == "SVM":
+        return svm_learning_curve(data, rows, values or FRACTIONS, cost, gamma)
     if curve == "learning_curve":
         fractions = values or FRACTIONS
         points = [
@@ -150,6 +152,16 @@ def curve_metrics(
     raise ValueError(f"no {curve} for {model}")
 
 
+def svm_learning_curve(data: Dataset, rows: VectorSet, fractions: Sequence[float], cost: float, gamma: float) -> DataFrame:
+    """All prefixes fitted side by side on features that are scaled by the longest prefix's train rows."""
+    sizes = [(f, n) for f, n in zip(fractions, prefix_sizes(data.docs, fractions)) if n > 0]
+    trains = [is_train() & (F.col("h") < f) for f, _ in sizes]
+    found = svm_predictions(rows.rows, rows.n_features, [{"cost": cost, "gamma": gamma}], trains)
+    at = lambda k: F.get(F.array(*(F.lit(float(s[k])) for s in sizes)), F.col("subset"))
+    found = found.withColumn("xvar", at(1)).filter(F.col("h") < at(0))
+    return by_point(found, "xvar")
+
+
 def evaluate(data: Dataset, curve: str, model: str = "SVM", **options) -> DataFrame:
     """Long series (xvar, variable, value): nine rows per point."""
     return series(curve_metrics(data, curve, model, **options))
@@ -160,7 +172,7 @@ def cost_gamma_metrics(
 ) -> DataFrame:
     rows = vectors(data, level)
     points = [{"cost": c, "gamma": g} for g in gammas for c in costs]
-    found = svm_predictions(rows.rows, rows.n_features, points, is_train(), solver="least_squares")
+    found = svm_predictions(rows.rows, rows.n_features, points, is_train())
     return by_point(found, "cost", "gamma")
 
 
@@ -197,17 +209,12 @@ def tune_svm(
     costs: Sequence[float] = TUNE_COSTS,
     gammas: Sequence[float] = TUNE_GAMMAS,
     kfold: int = 0,
-    solver: str = "least_squares",
 ) -> DataFrame:
-    """Mean validation metrics per (sparselevel, cost, gamma)."""
+    """Mean validation metrics per (sparselevel, cost, gamma); all levels, folds and points are fitted side by side."""
     points = [{"cost": c, "gamma": g} for g in gammas for c in costs]
-    parts = []
-    for s in levels:
-        rows = vectors(data, s)
-        folded = rows.rows.withColumn("fold", _fold_column(kfold))
-        for f in _fold_numbers(kfold):
-            found = svm_predictions(folded, rows.n_features, points, F.col("fold") != f, solver=solver)
-            parts.append(found.filter(F.col("fold") == f).withColumn("sparselevel", F.lit(float(s))))
-    found = reduce(DataFrame.unionByName, parts)
-    cells = confusion_metrics(contingency(found, ("sparselevel", "cost", "gamma", "fold")))
-    return _mean_over_folds(cells, "sparselevel", "cost", "gamma")
+    parts = [vectors(data, s) for s in levels]
+    trains = [_fold_column(kfold) != f for f in _fold_numbers(kfold)]
+    cells = svm_tallies([(p.rows, p.n_features) for p in parts], points, trains)
+    rows = [(float(levels[c["part"]]), c["cost"], c["gamma"], c["subset"], c["tp"], c["fp"], c["fn"], c["tn"]) for c in cells]
+    ddl = "sparselevel double, cost double, gamma double, fold int, tp long, fp long, fn long, tn long"
+    return _mean_over_folds(confusion_metrics(data.docs.sparkSession.createDataFrame(rows, ddl)), "sparselevel", "cost", "gamma")

@@ -4,12 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litsieve.operators import metrics, split, terms
+from litsieve.operators import hinge, metrics, split, terms
 from litsieve.operators.bayes import Variant, naive_bayes
 from litsieve.operators.knn import knn_votes
 from litsieve.operators.sparse_linear import scad_path, scad_weight, selected_terms, tfidf_vectors
 from litsieve.operators.svm import (
-    Scaling, fit_scaling, fourier_features, random_weights, svm_grid, svm_predictions,
+    FourierMap, Scaling, fit_scaling, random_weights, svm_grid, svm_predictions, svm_tallies,
 )
 from litsieve.plans import sweep
 from litsieve.plans.dataset import index, vectors
@@ -197,12 +197,12 @@ def test_fourier_features_approximate_the_kernel(spark):
     df = sparse_rows(spark, [(i, True, row.tolist()) for i, row in enumerate(x)])
     scaling = fit_scaling(df, 5)
     assert scaling.mean == pytest.approx(x.mean(0)) and scaling.sd == pytest.approx(x.std(0, ddof=1))
-    project = fourier_features(scaling, 0.05, 4096)
-    z = np.array([r["z"] for r in df.orderBy("doc_id").select(project("idx", "val").alias("z")).collect()])
+    rows = df.orderBy("doc_id").toPandas()
     s = (x - x.mean(0)) / x.std(0, ddof=1)
-    kernel = np.exp(-0.05 * ((s[:, None] - s[None]) ** 2).sum(-1))
-    assert np.abs(z @ z.T - kernel).max() < 0.1
-    assert random_weights(5, 0.05, 8, 1)[0] == pytest.approx(random_weights(5, 0.05, 8, 1)[0])
+    for gamma, z in zip((0.05, 0.2), FourierMap(scaling, (0.05, 0.2), 4096)(rows["idx"], rows["val"]), strict=True):
+        kernel = np.exp(-gamma * ((s[:, None] - s[None]) ** 2).sum(-1))
+        assert np.abs(z @ z.T - kernel).max() < 0.1
+    assert random_weights(5, 8, 1)[0] == pytest.approx(random_weights(5, 8, 1)[0])
     assert isinstance(scaling, Scaling)
 
 
@@ -218,10 +218,9 @@ def rings(spark):
     return sparse_rows(spark, points).withColumn("split", split.split_column())
 
 
-@pytest.mark.parametrize("solver", ["hinge", "least_squares"])
-def test_svm_learns_a_curved_border(rings, solver):
+def test_svm_learns_a_curved_border(rings):
     points = [{"cost": 10.0, "gamma": 0.5}, {"cost": 1.0, "gamma": 0.5}]
-    found = svm_predictions(rings, 2, points, sweep.is_train(), components=128, solver=solver)
+    found = svm_predictions(rings, 2, points, sweep.is_train(), components=128)
     result = metrics.confusion_metrics(metrics.contingency(found, ("cost", "split"))).collect()
     assert len(result) == 6
     assert min(r["balanced_accuracy"] for r in result if r["cost"] == 10.0) > 0.9
@@ -232,6 +231,65 @@ def test_svm_with_one_class_predicts_nothing(rings):
     assert found.count() == 40 and found.filter("predicted is not null").count() == 0
 
 
+def plain_fit(x, sign, weight, steps=4000):
+    """Accelerated gradient descent on the same objective, one fit at a time."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    rate = 1.0 / (1.0 + (weight[:, None] * x * x).sum() / (2 * hinge.BEND))
+    w = seen = np.zeros(x.shape[1])
+    for k in range(steps):
+        ahead = w + k / (k + 3) * (w - seen)
+        loss, slope = hinge.bent_hinge(sign * (x @ ahead))
+        seen, w = w, ahead - rate * (x.T @ (weight * slope * sign) + np.append(ahead[:-1], 0.0))
+    return w, (weight * hinge.bent_hinge(sign * (x @ w))[0]).sum() + 0.5 * w[:-1] @ w[:-1]
+
+
+def test_fits_side_by_side_equal_separate_fits(rings):
+    folds = [split.fold_column(3) != f for f in range(3)]
+    marked = rings.withColumn("member", hinge.member_bits(folds))
+    sizes = hinge.subset_sizes(marked, 3)
+    project = FourierMap(fit_scaling(rings, 2), (0.3, 1.0), 24)
+    blocks = hinge.feature_blocks(marked, project).persist()
+    fits = [hinge.Fit(space, k, cost) for space in (0, 1) for k in range(3) for cost in (0.5, 4.0)]
+    states = hinge.solve(blocks, fits, sizes, tolerance=1e-7)
+    cells = hinge.tallies(blocks, fits, states)
+    rows = marked.toPandas()
+    features = [f.astype(np.float32).astype(float) for f in project(rows["idx"], rows["val"])]
+    sign, member = np.where(rows["flag"], 1.0, -1.0), rows["member"].to_numpy()
+    for fit, state, cell in zip(fits, states, cells, strict=True):
+        inside = (member >> fit.subset) & 1
+        least = sizes[fit.subset].min()
+        weight = fit.cost * inside * np.where(sign > 0, least / sizes[fit.subset][1], least / sizes[fit.subset][0])
+        w, value = plain_fit(features[fit.space], sign, weight)
+        assert state.converged and state.value == pytest.approx(value, rel=1e-3)
+        positive = features[fit.space] @ state.w[:-1] + state.w[-1] >= 0
+        told = [(positive & (sign > 0)), (positive & (sign < 0)), (~positive & (sign > 0)), (~positive & (sign < 0))]
+        assert cell.tolist() == [int((t & (inside == 0)).sum()) for t in told]
+    blocks.unpersist()
+
+
+def test_fits_that_stop_early_are_reported(rings):
+    with pytest.warns(UserWarning, match="have not converged"):
+        svm_predictions(rings, 2, [{"cost": 10.0, "gamma": 0.5}], sweep.is_train(), components=32, max_iter=2)
+
+
+def test_tallies_of_parts_with_spaces_of_their_own(rings):
+    points = [{"cost": c, "gamma": g} for c in (1.0, 8.0) for g in (0.2, 0.5)]
+    folds = [split.fold_column(2) != f for f in range(2)]
+    both = svm_tallies([(rings, 2), (rings.filter("doc_id < 120"), 2)], points, folds, components=32)
+    one = svm_tallies([(rings.filter("doc_id < 120"), 2)], points, folds, components=32)
+    assert [c | {"part": 0} for c in both if c["part"] == 1] == one
+    assert len(both) == 16 and all(sum(c[x] for x in ("tp", "fp", "fn", "tn")) > 40 for c in one)
+
+
+def test_svm_prefixes_in_one_go(rings):
+    marked = rings.withColumn("h", F.col("doc_id") / 160)
+    trains = [sweep.is_train() & (F.col("h") < f) for f in (0.01, 0.5, 1.0)]
+    found = svm_predictions(marked, 2, [{"cost": 10.0, "gamma": 0.5}], trains, components=64)
+    assert found.filter("subset = 0 AND predicted IS NOT NULL").count() == 0  # too few rows for both classes
+    whole = metrics.confusion_metrics(metrics.contingency(found, ("subset",))).filter("subset = 2").first()
+    assert whole["balanced_accuracy"] > 0.9
+
+
 def test_svm_grid(rings):
     grid = svm_grid(rings, 2, gammas=(0.5,), costs=(1.0, 10.0), folds=3, components=64).collect()
     assert len(grid) == 2 and min(r["error"] for r in grid) < 0.1
