@@ -355,6 +355,11 @@ ORACLE["knn_feature_curve"] = " UNION ALL ".join(_nearest(_d(s), s) for s in (0.
 ORACLE["knn_learning_curve"] = " UNION ALL ".join(
     _nearest("(SELECT CAST(count(*) AS DOUBLE) FROM docs)", 0.92, f) for f in (0.5, 1.0)
 )
+# every point, in one text each: an empty prefix gives no rows
+ORACLE["knn_feature_curve_full"] = " UNION ALL ".join(_nearest(_d(s), s) for s in LEVELS)
+ORACLE["knn_learning_curve_full"] = " UNION ALL ".join(
+    _nearest("(SELECT CAST(count(*) AS DOUBLE) FROM docs)", 0.92, f) for f in FRACTIONS
+)
 _dense_distances = f"""
 docs AS (SELECT vec_id AS doc_id, label < 5 AS flag, {_split('vec_id')} AS split,
                 CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
