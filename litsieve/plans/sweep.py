@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litsieve.operators.bayes import Variant, naive_bayes
 from litsieve.operators.knn import knn_votes
-from litsieve.operators.metrics import confusion_metrics, contingency, series
+from litsieve.operators.metrics import best_parameters, confusion_metrics, contingency, rounded, series
 from litsieve.operators.split import fold_column
 from litsieve.operators.svm import svm_predictions, svm_tallies
 from litsieve.plans.dataset import Dataset, VectorSet, vectors
@@ -218,3 +218,20 @@ def tune_svm(
     rows = [(float(levels[c["part"]]), c["cost"], c["gamma"], c["subset"], c["tp"], c["fp"], c["fn"], c["tn"]) for c in cells]
     ddl = "sparselevel double, cost double, gamma double, fold int, tp long, fp long, fn long, tn long"
     return _mean_over_folds(confusion_metrics(data.docs.sparkSession.createDataFrame(rows, ddl)), "sparselevel", "cost", "gamma")
+
+
+def tuned_svm_holdout(data: Dataset, min_sensitivity: float = 0.8, **grid) -> DataFrame:
+    """(sparselevel, cost, gamma, split, counts, metrics) on the test rows, with the point that is best within the train rows.
+
+    The test rows take no part in the choice; empty when no point has ``min_sensitivity``.
+    """
+    names = ["sparselevel", "cost", "gamma"]
+    tuned = rounded(tune_svm(train_rows(data), **grid), ("balanced_accuracy",), 9)
+    best = best_parameters(tuned, names, min_sensitivity).first()
+    if best is None:
+        found = data.docs.filter(F.lit(False)).select("flag", "split", *(F.lit(0.0).alias(n) for n in names), F.lit(None).cast("boolean").alias("predicted"))
+    else:
+        rows = vectors(data, best["sparselevel"])
+        found = svm_predictions(rows.rows, rows.n_features, [{"cost": best["cost"], "gamma": best["gamma"]}], is_train())
+        found = found.filter(F.col("split") == "test").withColumn("sparselevel", F.lit(best["sparselevel"]))
+    return by_point(found, *names)

@@ -302,6 +302,10 @@ ORACLE["best_params"] = f"""{_curve}
 SELECT split, x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics
 WHERE sensitivity > 0.8 AND split = 'validate'
 QUALIFY row_number() OVER (PARTITION BY split ORDER BY balanced_accuracy DESC, x) = 1"""
+ORACLE["best_balanced"] = f"""{_curve}
+SELECT split, x AS xvar, sensitivity, specificity, balanced_accuracy FROM metrics
+WHERE sensitivity > -1 AND split = 'validate'
+QUALIFY row_number() OVER (PARTITION BY split ORDER BY balanced_accuracy DESC, x) = 1"""
 ORACLE["metrics_long"] = f"""{_curve}
 SELECT x AS xvar, split || '_tpr' AS variable, sensitivity AS value FROM metrics UNION ALL
 SELECT x, split || '_BAccuracy', balanced_accuracy FROM metrics UNION ALL

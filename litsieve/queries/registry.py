@@ -369,6 +369,14 @@ def best_params(spark, folder):
     return metrics.rounded(best, ("sensitivity", "specificity", "balanced_accuracy"))
 
 
+@query
+def best_balanced(spark, folder):
+    """As ``best_params`` without a least sensitivity."""
+    curve = sweep.nb_feature_curve(_data(spark, folder)).filter("split = 'validate'")
+    best = metrics.best_parameters(curve, ["xvar"], min_sensitivity=-1.0, by=["split"])
+    return metrics.rounded(best, ("sensitivity", "specificity", "balanced_accuracy"))
+
+
 @query
 def tuned_nb_holdout(spark, folder):
     """Sparse level chosen by five folds of the train rows; metrics of the refitted model on the test rows.
@@ -520,6 +528,15 @@ def tune_model(spark, folder):
     return sweep.tune_svm(sweep.train_rows(_data(spark, folder)))
 
 
+@query
+def tuned_svm_holdout(spark, folder):
+    """Sparse level, cost and gamma chosen on a fifth of the train rows; metrics of the refitted model on the test rows.
+
+    Empty when no point is sensitive enough.
+    """
+    return metrics.rounded(sweep.tuned_svm_holdout(_data(spark, folder)))
+
+
 @query
 def sparse_linear_select(spark, folder):
     docs = inputs.labelled(spark, folder)

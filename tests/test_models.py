@@ -341,6 +341,9 @@ def test_curves_of_each_model(spark):
         sweep.evaluate(data, "k_curve", "SVM", level=0.95)
     tuned = sweep.tune_svm(data, levels=[0.9], costs=[1, 10], gammas=[0.1])
     assert tuned.count() == 2
+    chosen = sweep.tuned_svm_holdout(data, 0.5, levels=[0.9], costs=[1, 10], gammas=[0.1]).collect()
+    assert [r["split"] for r in chosen] == ["test"] and chosen[0]["balanced_accuracy"] > 0.6
+    assert sweep.tuned_svm_holdout(data, 2.0, levels=[0.9], costs=[1], gammas=[0.1]).count() == 0
     learning = sweep.nb_learning_curve(data, 0.95, [0.02, 1.0])
     assert learning.filter("fraction = 1.0").first()["xvar"] == 80.0
     whole = sweep.by_point(sweep.nb_predictions(data, 0.95)).drop("split").collect()
