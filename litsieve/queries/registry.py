@@ -11,7 +11,7 @@ from litsieve.functions import text as texts
 from litsieve.functions.stemming import stem_word
 from litsieve.functions.stopwords import default_stop_words
 from litsieve.functions.text import tokens
-from litsieve.operators import clean, links, metrics, split, terms
+from litsieve.operators import clean, links, metrics, sparse_svm, split, terms
 from litsieve.operators.sparse_linear import scad_path, tfidf_vectors
 from litsieve.operators.svm import svm_grid
 from litsieve.plans import sweep
@@ -547,3 +547,34 @@ def sparse_linear_select(spark, folder):
     rows = tfidf_vectors(words, [r["term"] for r in kept], [r["idf"] for r in kept])
     _, found = scad_path(rows, sweep.is_train())
     return sweep.by_point(found, "lambda", "n_selected")
+
+
+def _sparse_path(spark, folder):
+    rows = vectors(_data(spark, folder), 0.92)
+    validate = F.col("split") == "validate"
+    return rows, sparse_svm.sparse_svm_path(rows.rows, rows.n_features, sweep.is_train(), validate)
+
+
+@query
+def sparse_svm_terms(spark, folder):
+    """Terms that the SCAD path of the SVM selects; ``chosen`` marks those of the penalty that the validation rows prefer."""
+    rows, path = _sparse_path(spark, folder)
+    return sparse_svm.path_terms(rows.vocab, path).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def sparse_svm_lambdas(spark, folder):
+    """Each penalty of the path: number of terms and metrics on the validation rows."""
+    rows, path = _sparse_path(spark, folder)
+    return metrics.rounded(sparse_svm.path_summary(rows.vocab, path))
+
+
+@query
+def sparse_svm_holdout(spark, folder):
+    """Metrics by split of the chosen penalty's model; empty when nothing is chosen."""
+    rows, path = _sparse_path(spark, folder)
+    if path is None or path.chosen is None:
+        found = rows.rows.withColumn("predicted", F.lit(None).cast("boolean")).limit(0)
+    else:
+        found = sparse_svm.predict(rows.rows, path.weights(path.chosen))
+    return metrics.rounded(metrics.confusion_metrics(metrics.contingency(found)))
