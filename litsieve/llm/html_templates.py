@@ -9,12 +9,17 @@ and so to the template: it is the same wherever the container stands. Vectors ar
 page hashes times counts, which tasks add up before the shuffle, so a host with any number of
 pages costs a few rows per task and repeated token.
 
+Near copies share article text, which is no template: a container (below the body) in which every other page or more has rare blocks of its own
+keeps its shared blocks too if those are the greater part. A few blocks that all pages repeat within such a container
+go, closing sentences too; text that stands in the body itself has no slot around it.
+
 Template text goes, and so do slots of menus, headers, footers, sidebars, notices, adverts, forms, and
-comments, whose text may differ by page; they are told by tags and English names. All other slots stay. A page with
+comments, whose text may differ by page; they are told by tags and English names. Inside an article, and on article elements, a name is told
+only by a class or id all of whose words are such names or words of layout: "comment-list" is one, "related-work" is not. All other slots stay. A page with
 nothing left, as where all pages of a host are copies, or whose host has no second page or no valid class, is
 judged by names alone: its article or main elements stay, or else all that is not noise.
 
-Null or empty html has an empty text. Null urls belong to the host ''. Rows with equal ids are
+Null or empty html has an empty text, an empty table none. Very long pages are read whole, one at a time. Null urls belong to the host ''. Rows with equal ids are
 rows of their own. Extra columns are ignored. Unclosed tags, comments and scripts end with the page.
 """
 
@@ -51,8 +56,12 @@ _NOISE_WORDS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus social share sharing "
     "related popup modal widget login signup search contentinfo complementary".split()
 )
+_LAYOUT_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons card cards container content count entry feed footer form group header icons "
+    "inner inline item items left link links list panel post posts right row section slot stories story text thread title top unit user users "
+    "widgets wrap wrapper".split()
+)
 _WORDS = re.compile(r"[a-z]+")
-_FIRST_WORD = re.compile(r"(?:^|[.])([a-z]+)")
 _MAIN = ("article", "main")
 
 
@@ -75,10 +84,11 @@ def is_noise(part: str, in_main: bool) -> bool:
         return True
     if not names or tag in ("html", "body", "main"):
         return False
-    if tag == "article":  # "comment" or "comment-body", but not "has-comments"
-        return not _NOISE_WORDS.isdisjoint(_FIRST_WORD.findall(names.lower()))
+    if tag == "article" or in_main:  # "comment" or "comment-body", but neither "has-comments" nor "comments-on-the-law"
+        own = [set(_WORDS.findall(name)) for name in names.lower().split(".")]
+        return any(words & _NOISE_WORDS and words <= _NOISE_WORDS | _LAYOUT_WORDS for words in own)
     words = set(_WORDS.findall(names.lower()))
-    return bool(words & _NOISE_WORDS) or "header" in words and not in_main
+    return bool(words & _NOISE_WORDS) or "header" in words
 
 
 def is_main(part: str) -> bool:
@@ -157,9 +167,10 @@ def page_text(page: str, template: Collection[int] | None) -> str:
     return "\n\n".join(texts or [text for _, text in clean])
 
 
-_TOKENS = "host string, path string, block long, pages long, total long, s1 long, s2 long"
-#: Column types of the first pass; a block of null is the container itself, and its path of '' the page.
-_TOKEN_SCHEMA = pa.schema([("host", pa.string()), ("path", pa.string()), *((n, pa.int64()) for n in ("block", "pages", "total", "s1", "s2"))])
+_TOKENS = "host string, path string, block long, pages long, total long, s1 long, s2 long, texts long"
+#: Column types of the first pass; a block of null is the container itself, and its path of '' the page. ``texts`` counts the blocks
+#: that stand in the container itself; a block has none.
+_TOKEN_SCHEMA = pa.schema([("host", pa.string()), ("path", pa.string()), *((n, pa.int64()) for n in ("block", "pages", "total", "s1", "s2", "texts"))])
 
 
 def _count(batches):
@@ -167,16 +178,17 @@ def _count(batches):
     for batch in arrays.slices(batches, "html", 8 << 20):
         sums: dict[tuple[str, str, int | None], list[int]] = {}
         for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts = Counter([("", None)])
+            counts, texts = Counter([("", None)]), Counter()
             for path, text in blocks(page or ""):
                 if text is None:
                     counts["/".join(path), None] += 1
                 elif clean_path(path):
                     counts["/".join(path), block_hash(path, text)] += 1
+                    texts["/".join(path), None] += 1
             h1, h2 = zlib.crc32(key.encode()) & 0x3FFFFFFF, zlib.crc32(b"2" + key.encode()) & 0x3FFFFFFF
             for token, n in counts.items():
-                s = sums.setdefault((host, *token), [0] * 4)
-                for i, v in enumerate((1, n, n * h1, n * h2)):
+                s = sums.setdefault((host, *token), [0] * 5)
+                for i, v in enumerate((1, n, n * h1, n * h2, texts[token])):
                     s[i] += v
         if sums:
             yield arrays.batch_of(
@@ -199,7 +211,18 @@ def template_blocks(tokens: list[dict]) -> list[int] | None:
         parts = t["path"].split("/") if t["path"] else []
         around = [containers[p] for k in range(len(parts) + 1) if (p := "/".join(parts[:k])) in containers]
         if any(t["total"] % c["total"] == 0 and vector(t) == vector(c, t["total"] // c["total"]) for c in around):
-            found.append(t["block"])
+            found.append(t)
+    shared, common = Counter(), Counter()
+    for t in found:
+        shared[t["path"]] += t["total"]
+    for t in tokens:
+        common[t["path"]] += 0 if t["block"] is None else t["total"]
+    host_pages = containers[""]["pages"]
+    slots = {
+        path for path, c in containers.items()
+        if path and path.rpartition("/")[2].partition(".")[0] not in ("html", "body") and shared[path] > c["texts"] - common[path] >= host_pages / 2
+    }
+    found = [t["block"] for t in found if t["path"] not in slots]
     classes = Counter(vector(c) for path, c in containers.items() if path)
     return found if found or any(n > 1 for n in classes.values()) else None
 
@@ -218,7 +241,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = materialize(vectors.filter("path = '' AND block IS NULL AND pages > 1").select(F.col("host").alias("of"), F.col("pages").alias("host_pages")), "hosts")
     # on half of the pages or more: a host keeps at most twice the mean number of tokens of a page
     common = vectors.join(small_side(sizes), F.col("host") == F.col("of")).filter("2 * pages >= host_pages")
-    nested = common.groupBy("host").agg(F.collect_list(F.struct("path", "block", "pages", "total", "s1", "s2")).alias("tokens"))
+    nested = common.groupBy("host").agg(F.collect_list(F.struct("path", "block", "pages", "total", "s1", "s2", "texts")).alias("tokens"))
     return nested.mapInArrow(_choose, "template_host string, template array<long>")
 
 
