@@ -7,9 +7,10 @@ Findings are joined back to all paths of a blob. A rule is (name, version, patte
 fewest characters of that group); raising the version has all blobs scanned for that rule again.
 
 DataFrame functions only. Places of matches come from the pieces between them: ``split`` gives the text between
-the matches and ``regexp_extract_all`` the matches, so a running sum of lengths gives starts and ends.
+the matches and ``regexp_extract_all`` the matches, so a running sum of lengths gives starts and ends. The sum runs over blocks of
+about sqrt(n) of a text's n matches and then over the blocks, as an array that grows by one is copied each time.
 
-Null texts count as empty. Rows with equal paths are versions of their own. Extra columns are ignored.
+Null texts count as empty. Very long texts with any number of matches are scanned whole, each in one row. Rows with equal paths are versions of their own. Extra columns are ignored.
 An empty table writes an empty commit.
 """
 
@@ -59,13 +60,10 @@ MORE = (
 RULES = BASE + MORE
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """(start, end) of the matches of a rule, in code points; leftmost, without overlaps, too short ones dropped."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    sizes = F.transform(found, F.length)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    places = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), sizes.alias("size")),
+def _running(pieces: Column) -> Column:
+    """(at, out): summed length and (start, end) of the matches of a block, from the block's own beginning."""
+    return F.aggregate(
+        pieces,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out")),
         lambda so_far, x: F.struct(
             (so_far["at"] + x["gap"] + x["size"]).alias("at"),
@@ -74,13 +72,40 @@ def spans(text: Column, rule: Rule) -> Column:
                 F.array(F.struct((so_far["at"] + x["gap"]).alias("start"), (so_far["at"] + x["gap"] + x["size"]).alias("end"))),
             ).alias("out"),
         ),
-        lambda end: end["out"],
     )
+
+
+def _shifted(places: Column, by: Column) -> Column:
+    return F.transform(places, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """(start, end) of the matches of a rule, in code points; leftmost, without overlaps, too short ones dropped."""
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    sizes = F.transform(found, F.length)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), sizes.alias("size"))
+
+    def in_blocks(own: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(own))).cast("int")
+        return F.transform(F.sequence(F.lit(0), width - 1), lambda k: _running(F.slice(own, k * width + 1, width)))
+
+    # as a lambda's variable the pieces are computed once, and not again for each block
+    relative = F.get(F.transform(F.array(pieces), in_blocks), F.lit(0))
+    blocks = F.aggregate(
+        relative,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")),
+        lambda so_far, block: F.struct(
+            (so_far["at"] + block["at"]).alias("at"), F.concat(so_far["out"], F.array(_shifted(block["out"], so_far["at"]))).alias("out")
+        ),
+    )
+    places = F.flatten(blocks["out"])
     if rule.least <= 1:
         kept = places
     else:
-        values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-        kept = F.filter(places, lambda _, i: F.length(F.get(values, i)) >= rule.least)
+        values = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
+        long_enough = F.filter(F.arrays_zip(places.alias("place"), values.alias("size")), lambda x: x["size"] >= rule.least)
+        kept = F.transform(long_enough, lambda x: x["place"])
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), kept).otherwise(F.array().cast(_SPANS))
 
 
