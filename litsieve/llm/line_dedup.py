@@ -3,12 +3,14 @@
 A run is a table of (h1, h2, first) bucketed and sorted by the 128-bit hash of a line's key. A batch
 is reduced to its distinct keys with their smallest document, merge-anti-joined with every run (bucketed
 alike, so runs are neither shuffled nor sorted again), and the keys that are left become its own
-run. ``fanout`` runs of a level are merged into one of the next, so n batches leave O(log n) runs.
+run. Before a batch, ``fanout`` runs of a level are merged into one of the next, so n batches leave O(log n) runs and
+nothing is merged that no batch reads.
 
 DataFrame functions only. Batches must come in ascending order of ids for "the smallest id keeps the
 line" to hold over all batches. A line repeated within the document that keeps it stays there.
 Null texts are one empty line. Rows with a null id count as one document behind all others;
-rows that share an id count as one document when lines are kept. Extra columns are ignored.
+rows that share an id count as one document when lines are kept. Extra columns are ignored. An empty table is one
+empty batch; very long texts are split whole, each in one row.
 """
 
 from __future__ import annotations
@@ -67,23 +69,26 @@ class LineIndex:
             )
         return name
 
-    def _add(self, name: str) -> None:
+    def _add(self, name: str, level: int = 0) -> None:
+        if len(self.levels) == level:
+            self.levels.append([])
+        self.levels[level].append(name)
+
+    def compact(self) -> None:
+        """Merges the levels that are full, from the lowest on."""
         level = 0
-        while True:
-            if len(self.levels) == level:
-                self.levels.append([])
-            self.levels[level].append(name)
-            if len(self.levels[level]) < self.fanout:
-                return
-            merged = self.spark.table(self.levels[level][0])
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(self.spark.table(other))
-            name = self._write(merged.repartition(self.buckets, "h1", "h2"))
-            self.levels[level] = []
+        while level < len(self.levels):
+            if len(full := self.levels[level]) >= self.fanout:
+                merged = self.spark.table(full[0])
+                for other in full[1:]:
+                    merged = merged.unionByName(self.spark.table(other))
+                self._add(self._write(merged.repartition(self.buckets, "h1", "h2")), level + 1)
+                self.levels[level] = []
             level += 1
 
     def process(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_lines, n_dropped, kept_text) of every row of the batch; its new keys become a run."""
+        self.compact()
         lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
         docs = batch.select(F.col(id_col).alias("id"), lines.alias("lines"))
         hashed = F.transform("lines", lambda line: _hashes(line, self.min_chars))
@@ -131,7 +136,7 @@ def id_ranges(docs: DataFrame, batches: int, id_col: str = "doc_id") -> list[Dat
 
 
 def dedup_lines(
-    docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The whole table through one index, in ranges of ascending ids."""
     index = LineIndex(docs.sparkSession, min_chars, fanout)
