@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.operators.terms import dense_enough
+from litsieve.operators.terms import dense_enough, tally
 from litsieve.session import materialize, small_side
 
 # A probability of at most EPS is replaced by THRESHOLD when scoring.
@@ -43,26 +43,28 @@ def naive_bayes(
     trains: Mapping[str, Column],
     variants: Sequence[Variant],
     fit_scope: str = "all",
+    weight: str | None = None,
 ) -> DataFrame:
     """Scores of every document under every variant that covers it.
 
     ``docs`` (doc_id, flag, ...) holds all documents, also those without terms; ``counts`` is a
     term table whose kept columns serve the ``trains`` conditions. ``fit_scope='all'`` takes
-    document frequencies from all rows, ``'train'`` from each model's own train rows.
+    document frequencies from all rows, ``'train'`` from each model's own train rows. ``weight`` names a
+    column of both tables: a row then counts as that many equal rows.
     Returns docs columns, the parameters, score_true, score_false, predicted.
     """
     flag = F.col("flag")
     names = list(trains)
     sizes = docs.agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count_if(trains[t] & flag).alias(f"{t}_true") for t in names),
-        *(F.count_if(trains[t] & ~flag).alias(f"{t}_false") for t in names),
+        tally(F.lit(True), weight).alias("n"),
+        *(tally(trains[t] & flag, weight).alias(f"{t}_true") for t in names),
+        *(tally(trains[t] & ~flag, weight).alias(f"{t}_false") for t in names),
     ).first()
 
     frequencies = counts.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"),
-        *(F.count_if(trains[t] & flag).alias(f"{t}_true") for t in names),
-        *(F.count_if(trains[t] & ~flag).alias(f"{t}_false") for t in names),
+        tally(F.lit(True), weight).alias("df"),
+        *(tally(trains[t] & flag, weight).alias(f"{t}_true") for t in names),
+        *(tally(trains[t] & ~flag, weight).alias(f"{t}_false") for t in names),
     )
     columns, used = [], F.lit(False)
     for i, v in enumerate(variants):

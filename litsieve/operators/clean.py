@@ -98,6 +98,17 @@ def screening_agreement(df: DataFrame, double_screening: bool = True) -> DataFra
     )
 
 
+def weighted_set(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """(doc_id, text, flag, copies): one row per paper of a merged table, with the rows that it stands for.
+
+    A paper whose title matches bibliography rows of several kinds has several merged rows; their copies
+    add up. Rows that share an id are one paper: its text is the greatest, its flag TRUE if any is.
+    """
+    return df.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(
+        F.max("text").alias("text"), F.max("flag").alias("flag"), F.sum("copies").alias("copies")
+    )
+
+
 def agreed_by_union(df: DataFrame) -> DataFrame:
     """The same rows as ``screening_agreement``, as positives followed by negatives."""
     both_in = df.filter(F.col("s1_included") & F.col("s2_included")).withColumn("flag", F.lit(True))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from litsieve.operators.terms import tally
 from litsieve.session import materialize, ship_package, small_side
 
 LEVELS = "q string, d2 double, n_true long, n_false long"
@@ -128,7 +129,7 @@ def _meet(queries: DataFrame, train: DataFrame, k: int, block_rows: int) -> Data
 
 
 def neighbour_levels(
-    query: DataFrame, train: DataFrame, k: int, block_rows: int = 2048
+    query: DataFrame, train: DataFrame, k: int, block_rows: int = 2048, weight: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(levels, keys): ``levels`` (q, d2, n_true, n_false, nearer) with all ties of the k-th
     neighbour, ``keys`` (doc_id, q). ``query`` is (doc_id, idx, val), ``train`` has ``flag`` too.
@@ -141,8 +142,8 @@ def neighbour_levels(
         .agg(
             F.first("idx").alias("idx"),
             F.first("val").alias("val"),
-            F.count_if("flag").alias("n_true"),
-            F.count_if(~F.col("flag")).alias("n_false"),
+            tally(F.col("flag"), weight).alias("n_true"),
+            tally(~F.col("flag"), weight).alias("n_false"),
         ),
         "knn-train",
     )
@@ -230,14 +231,14 @@ def _search(distinct, votes, k, n_pivots, block_rows) -> DataFrame:
 
 
 def knn_votes(
-    query: DataFrame, train: DataFrame, ks: Sequence[int], block_rows: int = 2048
+    query: DataFrame, train: DataFrame, ks: Sequence[int], block_rows: int = 2048, weight: str | None = None
 ) -> DataFrame:
     """(doc_id, k, votes_true, votes_false, probability, predicted) for several k at once.
 
     Neighbours are ranked once, for the largest k. All ties of the k-th distance vote; a tied
-    vote is FALSE.
+    vote is FALSE. ``weight`` names a column of ``train``: a row then is that many neighbours.
     """
-    levels, keys = neighbour_levels(query, train, max(ks), block_rows)
+    levels, keys = neighbour_levels(query, train, max(ks), block_rows, weight)
     per_k = F.explode(F.array(*(F.lit(k) for k in ks))).alias("k")
     votes = (
         levels.select("q", "n_true", "n_false", "nearer", per_k)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litsieve.operators.terms import tally
+
 
 def class_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
@@ -19,14 +21,17 @@ def class_weights(docs: DataFrame) -> DataFrame:
     return counts.withColumn("weight", smallest / F.col("n"))
 
 
-def contingency(predictions: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """tp, fp, fn, tn of ``predicted`` against ``flag`` per group; null predictions count nowhere."""
+def contingency(predictions: DataFrame, by: Sequence[str] = ("split",), weight: str | None = None) -> DataFrame:
+    """tp, fp, fn, tn of ``predicted`` against ``flag`` per group; null predictions count nowhere.
+
+    With ``weight`` a row counts as often as that column says.
+    """
     predicted, actual = F.col("predicted"), F.col("flag")
     return predictions.groupBy(*by).agg(
-        F.count_if(predicted & actual).alias("tp"),
-        F.count_if(predicted & ~actual).alias("fp"),
-        F.count_if(~predicted & actual).alias("fn"),
-        F.count_if(~predicted & ~actual).alias("tn"),
+        tally(predicted & actual, weight).alias("tp"),
+        tally(predicted & ~actual, weight).alias("fp"),
+        tally(~predicted & actual, weight).alias("fn"),
+        tally(~predicted & ~actual, weight).alias("tn"),
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litsieve.functions.keys import FOLD_SEED, SHUFFLE_SEED, SPLIT_SEED, hash01, hash_key
@@ -30,25 +29,33 @@ def split_by_threshold(df: DataFrame, **shares) -> DataFrame:
     return df.withColumn("split", split_column(**shares))
 
 
-def key_at_rank(df: DataFrame, rank: int, seed: int, digits: int = 4) -> str:
+#: Hexadecimal digits of a hash key.
+KEY_DIGITS = 32
+
+
+def key_at_rank(df: DataFrame, rank: int, seed: int, digits: int = 3, max_rows: int = 4096) -> str:
     """The ``rank``-th smallest hash key (1-based) without a global sort.
 
-    Counts rows per key prefix (at most 16**digits rows reach the driver), then ranks only the
-    rows of the one prefix that holds the wanted key: about N / 16**digits rows.
+    Radix refinement: counts rows per next ``digits`` of the key, goes into the prefix that holds the
+    rank, and counts again until that prefix has at most ``max_rows`` rows or is a whole key, which
+    rows of one id share. At most 16**digits counts and ``max_rows`` keys reach the driver whatever
+    the number of rows; each level is one aggregation with partial sums.
     """
     keys = df.select(hash_key(seed).alias("k"))
-    prefix = F.substring("k", 1, digits).alias("p")
-    sizes = keys.groupBy(prefix).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    seen = 0
-    for row in sizes:
-        if seen + row["n"] >= rank:
-            break
-        seen += row["n"]
-    inside = keys.filter(F.col("k").startswith(row["p"]))
-    ranked = inside.withColumn("p", prefix).withColumn(
-        "r", F.row_number().over(W.partitionBy("p").orderBy("k"))
-    )
-    return ranked.filter(F.col("r") == rank - seen).first()["k"]
+    prefix, left = "", rank
+    while len(prefix) < KEY_DIGITS:
+        inside = keys.filter(F.col("k").startswith(prefix)) if prefix else keys
+        longer = F.substring("k", 1, len(prefix) + digits).alias("p")
+        rows = 0
+        for row in inside.groupBy(longer).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+            prefix, rows = row["p"], row["n"]
+            if rows >= left:
+                break
+            left -= rows
+        if rows <= max_rows and len(prefix) < KEY_DIGITS:
+            found = keys.filter(F.col("k").startswith(prefix)).orderBy("k").limit(left).collect()
+            return found[left - 1]["k"]
+    return prefix
 
 
 def half_even(x: float) -> int:

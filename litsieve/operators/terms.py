@@ -36,9 +36,16 @@ def term_counts(clean: DataFrame, keep: Sequence[str] = (), **token_options) ->
     return exploded.filter(F.col("term").isNotNull()).groupBy("doc_id", *keep, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
+def tally(condition: Column, weight: str | None = None) -> Column:
+    """Rows that meet ``condition``; with ``weight``, the sum of that column over them."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long"))
+
+
+def document_frequency(counts: DataFrame, weight: str | None = None) -> DataFrame:
     """(term, df). A term found in a third of all documents is combined before the shuffle."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counts.groupBy("term").agg(tally(F.lit(True), weight).alias("df"))
 
 
 def dense_enough(df: Column, n_docs: Column | int, level: Column | float) -> Column:
@@ -48,13 +55,13 @@ def dense_enough(df: Column, n_docs: Column | int, level: Column | float) -> Col
     return df.cast("double") > total.cast("double") * (F.lit(1.0) - as_column.cast("double"))
 
 
-def vocabulary(counts: DataFrame, n_docs: Column | int, level: float) -> DataFrame:
+def vocabulary(counts: DataFrame, n_docs: Column | int, level: float, weight: str | None = None) -> DataFrame:
     """(term, df) after sparse-term removal.
 
     The size does not grow with the collection: every kept term is in more than N(1 - level)
     documents, so there are fewer than (mean distinct terms per document) / (1 - level).
     """
-    return document_frequency(counts).filter(dense_enough(F.col("df"), n_docs, level))
+    return document_frequency(counts, weight).filter(dense_enough(F.col("df"), n_docs, level))
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, n_docs: Column | int) -> DataFrame:

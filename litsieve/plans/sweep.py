@@ -13,6 +13,7 @@ from litsieve.operators.knn import knn_votes
 from litsieve.operators.metrics import best_parameters, confusion_metrics, contingency, rounded, series
 from litsieve.operators.split import fold_column
 from litsieve.operators.svm import svm_predictions, svm_tallies
+from litsieve.operators.terms import tally
 from litsieve.plans.dataset import Dataset, VectorSet, vectors
 
 # The points of each curve.
@@ -40,57 +41,61 @@ def is_train() -> Column:
 
 def train_rows(data: Dataset) -> Dataset:
     """The train rows alone, for tuning that must not see the rows it is judged on."""
-    return Dataset(data.docs.filter(is_train()), data.counts.filter(is_train()))
+    return Dataset(data.docs.filter(is_train()), data.counts.filter(is_train()), data.weight)
 
 
-def by_point(predictions: DataFrame, *params: str) -> DataFrame:
+def by_point(predictions: DataFrame, *params: str, weight: str | None = None) -> DataFrame:
     """Metrics per parameter point and split."""
-    return confusion_metrics(contingency(predictions, (*params, "split")))
+    return confusion_metrics(contingency(predictions, (*params, "split"), weight))
 
 
-def prefix_sizes(docs: DataFrame, fractions: Sequence[float]) -> list[int]:
+def prefix_sizes(docs: DataFrame, fractions: Sequence[float], weight: str | None = None) -> list[int]:
     """Rows in each prefix: the x axis of a learning curve."""
-    row = docs.agg(*(F.count_if(F.col("h") < f).alias(f"n{i}") for i, f in enumerate(fractions))).first()
+    row = docs.agg(*(tally(F.col("h") < f, weight).alias(f"n{i}") for i, f in enumerate(fractions))).first()
     return list(row)
 
 
 def nb_predictions(data: Dataset, level: float, fit_scope: str = "all") -> DataFrame:
-    return naive_bayes(data.docs, data.counts, {"t": is_train()}, [Variant({}, "t", level)], fit_scope)
+    return naive_bayes(data.docs, data.counts, {"t": is_train()}, [Variant({}, "t", level)], fit_scope, data.weight)
 
 
 def nb_feature_curve(data: Dataset, levels: Sequence[float] = LEVELS) -> DataFrame:
     """All levels share the train counts; only the terms that take part differ."""
     points = [Variant({"xvar": float(s)}, "t", s) for s in levels]
-    return by_point(naive_bayes(data.docs, data.counts, {"t": is_train()}, points), "xvar")
+    found = naive_bayes(data.docs, data.counts, {"t": is_train()}, points, weight=data.weight)
+    return by_point(found, "xvar", weight=data.weight)
 
 
 def nb_learning_curve(
     data: Dataset, level: float = 0.99, fractions: Sequence[float] = FRACTIONS
 ) -> DataFrame:
     """All prefixes in one pass over the rows; ``xvar`` is the row count of all three splits."""
-    sizes = prefix_sizes(data.docs, fractions)
+    sizes = prefix_sizes(data.docs, fractions, data.weight)
     trains = {f"t{i}": is_train() & (F.col("h") < f) for i, f in enumerate(fractions)}
     points = [
         Variant({"fraction": float(f), "xvar": float(sizes[i])}, f"t{i}", level, F.col("h") < f)
         for i, f in enumerate(fractions)
     ]
-    return by_point(naive_bayes(data.docs, data.counts, trains, points), "fraction", "xvar")
+    found = naive_bayes(data.docs, data.counts, trains, points, weight=data.weight)
+    return by_point(found, "fraction", "xvar", weight=data.weight)
 
 
 def knn_predictions(rows: VectorSet | DataFrame, ks: Sequence[int], **options) -> DataFrame:
     """Train rows vote for all rows, train rows included."""
     frame = rows.rows if isinstance(rows, VectorSet) else rows
+    weight = rows.weight if isinstance(rows, VectorSet) else None
     votes = knn_votes(
         frame.select("doc_id", "idx", "val"),
-        frame.filter(is_train()).select("doc_id", "flag", "idx", "val"),
+        frame.filter(is_train()).select("doc_id", "flag", "idx", "val", *([weight] if weight else [])),
         ks,
+        weight=weight,
         **options,
     )
     return frame.drop("idx", "val").join(votes, "doc_id")
 
 
 def _prefix(rows: VectorSet, fraction: float) -> VectorSet:
-    return VectorSet(rows.rows.filter(F.col("h") < fraction), rows.vocab, rows.n_features)
+    return VectorSet(rows.rows.filter(F.col("h") < fraction), rows.vocab, rows.n_features, rows.weight)
 
 
 def _model_metrics(model: str, rows: VectorSet, cost, gamma, k) -> DataFrame:
@@ -99,7 +104,7 @@ def _model_metrics(model: str, rows: VectorSet, cost, gamma, k) -> DataFrame:
     else:
         point = [{"cost": cost, "gamma": gamma}]
         predictions = svm_predictions(rows.rows, rows.n_features, point, is_train())
-    return confusion_metrics(contingency(predictions))
+    return confusion_metrics(contingency(predictions, weight=rows.weight))
 
 
 def _at(xvar: float, metrics: DataFrame) -> DataFrame:
@@ -136,13 +141,13 @@ def curve_metrics(
         fractions = values or FRACTIONS
         points = [
             _at(n, _model_metrics(model, _prefix(rows, f), cost, gamma, k))
-            for f, n in zip(fractions, prefix_sizes(data.docs, fractions))
+            for f, n in zip(fractions, prefix_sizes(data.docs, fractions, data.weight))
             if n > 0
         ]
         return reduce(DataFrame.unionByName, points)
     if curve == "k_curve" and model == "kNN":
         found = knn_predictions(rows, [int(v) for v in values or NEIGHBOURS])
-        return by_point(found.withColumn("xvar", F.col("k").cast("double")), "xvar")
+        return by_point(found.withColumn("xvar", F.col("k").cast("double")), "xvar", weight=rows.weight)
     if curve in ("cost_curve", "gamma_curve") and model == "SVM":
         axis = curve.removesuffix("_curve")
         fixed = {"cost": cost, "gamma": gamma}
@@ -199,8 +204,8 @@ def tune_naive_bayes(data: Dataset, levels: Sequence[float] = TUNE_LEVELS, kfold
         for s in levels
         for f in _fold_numbers(kfold)
     ]
-    found = naive_bayes(data.docs, data.counts, trains, points)
-    return _mean_over_folds(confusion_metrics(contingency(found, ("sparselevel", "fold"))), "sparselevel")
+    found = naive_bayes(data.docs, data.counts, trains, points, weight=data.weight)
+    return _mean_over_folds(confusion_metrics(contingency(found, ("sparselevel", "fold"), data.weight)), "sparselevel")
 
 
 def tune_svm(

@@ -81,10 +81,11 @@ grouped AS (SELECT {cols}, term, count(*) AS tf FROM tokens WHERE length(term) >
 counts AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS n_tokens FROM grouped)"""
 
 
-def _vocab(level: float, source: str = "clean") -> str:
+def _vocab(level: float, source: str = "clean", seen: str = "") -> str:
+    """``seen``: condition of the rows that give document frequencies."""
     return f"""
-total AS (SELECT count(*) AS n FROM {source}),
-freq AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+total AS (SELECT count(*) AS n FROM {source}{seen}),
+freq AS (SELECT term, count(*) AS df FROM counts{seen} GROUP BY term),
 vocab AS (SELECT term, df FROM freq, total
           WHERE CAST(df AS DOUBLE) > CAST(n AS DOUBLE) * (CAST(1 AS DOUBLE) - {_d(level)})),
 weights AS (SELECT c.*, df, CAST(tf AS DOUBLE) / n_tokens * log2(CAST(n AS DOUBLE) / df) AS weight
@@ -217,7 +218,7 @@ metrics AS (SELECT {by}, tp, fp, fn, tn, {METRICS} FROM sized)"""
 
 
 def _bayes(
-    variants: str, in_train: str, in_score: str, scope: str = "all", clean: str = LABELLED, stopped: bool = False
+    variants: str, in_train: str, in_score: str, scope: str = "all", clean: str = LABELLED, stopped: bool = False, key: str = "doc_id"
 ) -> str:
     """CTEs up to ``predictions``; ``variants`` are rows of (v, level, x)."""
     df = "(n_true_docs + n_false_docs)" if scope == "train" else "f.df"
@@ -225,8 +226,8 @@ def _bayes(
     return f"""{clean}, {_counts(stopped=stopped)},
 total AS (SELECT count(*) AS n FROM clean),
 freq AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
-docs AS (SELECT doc_id, flag, {_split()} AS split, {_hash01(1)} AS h,
-                CAST(floor({_hash01(7)} * 5) AS INTEGER) AS fold FROM clean),
+docs AS (SELECT doc_id, flag, {_split(key)} AS split, {_hash01(1, key)} AS h,
+                CAST(floor({_hash01(7, key)} * 5) AS INTEGER) AS fold FROM clean),
 variants AS (SELECT * FROM (VALUES {variants}) t(v, level, x)),
 train AS (SELECT v, doc_id, flag FROM docs, variants WHERE {in_train}),
 scored AS (SELECT v, level, x, doc_id, flag, split, fold FROM docs, variants WHERE {in_score}),
@@ -313,6 +314,13 @@ SELECT x, split || '_tnr', specificity FROM metrics"""
 ORACLE["series_view"] = f"SELECT * FROM ({ORACLE['metrics_long']}) WHERE NOT contains(variable, 'test')"
 ORACLE["write_series"] = ORACLE["metrics_long"]
 
+# every merged row is a document of its own; rows of one paper share its split
+SCREENED = f"""{MERGED},
+clean AS (SELECT row_number() OVER () AS doc_id, id, s1_included AS flag, text FROM merged
+          WHERE {_kept} AND NOT contains(title, 'meeting') AND NOT contains(title, 'conference') AND s1_included = s2_included)"""
+_screened = _bayes(_rows([(0, 0.95, 1)]), "split = 'train'", "true", clean=SCREENED, stopped=True, key="id")
+ORACLE["screened_nb_metrics"] = f"WITH {_screened}, {_metrics('split')} SELECT * FROM metrics"
+
 # ---- nearest neighbours ----
 
 
@@ -328,10 +336,13 @@ predictions AS (SELECT d.doc_id, d.flag, d.split, k, votes_true, votes_false,
   FROM docs d JOIN votes USING (doc_id))"""
 
 
-def _text_neighbours(level: float, upto: float = 1) -> str:
-    """CTEs up to ``distances``: terms from all rows, neighbours among the rows of a prefix."""
-    return f"""{LABELLED}, {_counts()}, {_vocab(level)},
-docs AS (SELECT doc_id, flag, {_split()} AS split FROM clean WHERE {_hash01(1)} < {_d(upto)}),
+def _text_neighbours(
+    level: float, upto: float = 1, clean: str = LABELLED, stopped: bool = False, key: str = "doc_id", scope: str = "all"
+) -> str:
+    """CTEs up to ``distances``: terms from all rows (or train rows), neighbours among the rows of a prefix."""
+    seen = f" WHERE {_split(key)} = 'train'" if scope == "train" else ""
+    return f"""{clean}, {_counts(stopped=stopped)}, {_vocab(level, seen=seen)},
+docs AS (SELECT doc_id, flag, {_split(key)} AS split FROM clean WHERE {_hash01(1, key)} < {_d(upto)}),
 norms AS (SELECT doc_id, sum(weight * weight) AS nn FROM weights GROUP BY doc_id),
 dots AS (SELECT a.doc_id AS q, b.doc_id AS t, sum(a.weight * b.weight) AS dot
          FROM weights a JOIN weights b USING (term) GROUP BY a.doc_id, b.doc_id),
@@ -345,6 +356,10 @@ _text_distances = _text_neighbours(0.95)
 _vote_columns = "doc_id, flag, split, k, votes_true, votes_false, round(probability, 6) AS probability, predicted"
 ORACLE["knn_predict"] = f"WITH {_neighbours(_text_distances, [3])} SELECT {_vote_columns} FROM predictions"
 ORACLE["knn_small_blocks"] = ORACLE["knn_predict"]
+_train_terms = _text_neighbours(0.95, scope="train")
+ORACLE["knn_train_scope"] = f"WITH {_neighbours(_train_terms, [3])} SELECT {_vote_columns} FROM predictions"
+_screened_distances = _text_neighbours(0.95, clean=SCREENED, stopped=True, key="id")
+ORACLE["screened_knn_metrics"] = f"WITH {_neighbours(_screened_distances, [3])}, {_metrics('split')} SELECT * FROM metrics"
 ORACLE["knn_k_curve"] = f"""WITH {_neighbours(_text_distances, NEIGHBOURS)}, {_metrics('k, split')}
 SELECT CAST(k AS DOUBLE) AS xvar, * EXCLUDE (k) FROM metrics"""
 

@@ -429,6 +429,19 @@ def nb_metrics_stemmed(spark, folder):
     return metrics.rounded(metrics.confusion_metrics(metrics.contingency(found)))
 
 
+def _screened(spark, folder):
+    """The first driver's input: merged, kept and agreed papers, weighted by the merged rows that each stands for."""
+    agreed = clean.screening_agreement(clean.keep_papers(_merged(spark, folder)))
+    return index(clean.weighted_set(agreed), weight="copies", **PREPARED)
+
+
+@query
+def screened_nb_metrics(spark, folder):
+    """The first driver from its tables to metrics: every merged row counts, without writing the copies out."""
+    found = sweep.nb_predictions(_screened(spark, folder), LEVEL)
+    return metrics.rounded(metrics.confusion_metrics(metrics.contingency(found, weight="copies")))
+
+
 # ---- nearest neighbours -----------------------------------------------------------------------
 
 
@@ -449,6 +462,19 @@ def knn_small_blocks(spark, folder):
     return _votes(sweep.knn_predictions(vectors(_data(spark, folder), LEVEL), [3], block_rows=32))
 
 
+@query
+def knn_train_scope(spark, folder):
+    """Vocabulary and weights from the train rows only."""
+    return _votes(sweep.knn_predictions(vectors(_data(spark, folder), LEVEL, "train"), [3]))
+
+
+@query
+def screened_knn_metrics(spark, folder):
+    """As ``screened_nb_metrics`` with three neighbours; each merged row is a neighbour."""
+    found = sweep.knn_predictions(vectors(_screened(spark, folder), LEVEL), [3])
+    return metrics.rounded(metrics.confusion_metrics(metrics.contingency(found, weight="copies")))
+
+
 @query
 def knn_feature_curve(spark, folder):
     """The two points of its SQL; ``knn_feature_curve_full`` has all."""
