@@ -50,13 +50,17 @@ def remove_folders(link: Column, folders: Sequence[str]) -> Column:
 def canonical_root(link: Column, drive: str, share: str, base: str) -> Column:
     """``share`` at the start becomes ``drive``; links still without it get ``base`` in front.
 
-    ``drive`` and ``share`` are literal and match in any case.
+    ``drive`` and ``share`` are literal and match in any case. Each step reads the link once: with
+    conditions that repeat it, the generated code of a chain of rules grows beyond what the JVM takes.
     """
-    has_drive = f"(?i)^{re.escape(drive)}"
-    mounted = F.when(link.rlike(has_drive), link).otherwise(
-        F.regexp_replace(link, F.lit(f"(?i)^{re.escape(share)}"), F.lit(drive.replace("\\", "\\\\")))
-    )
-    return F.when(mounted.rlike(has_drive), mounted).otherwise(F.concat(F.lit(base), mounted))
+    other = f"(?i)^(?!{re.escape(drive)})"
+    mounted = F.regexp_replace(link, F.lit(other + re.escape(share)), F.lit(_literal(drive)))
+    return F.regexp_replace(mounted, F.lit(other), F.lit(_literal(base)))
+
+
+def _literal(text: str) -> str:
+    """A replacement that stands for itself."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
 def text_link(link: Column, pattern: str = ".pdf$", extension: str = ".txt", strict: bool = False) -> Column:

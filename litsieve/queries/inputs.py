@@ -61,6 +61,40 @@ def bibliography(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def paper_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, flag, hlink): links as a reference manager leaves them, some in moved folders, some no PDF."""
+    labels = load_table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("flag"))
+    ids = load_table(spark, folder, "documents").select("doc_id").join(labels, "doc_id", "left")
+    place = (
+        F.when(F.col("doc_id") % 4 == 0, "\\\\server\\share\\MS Clinical trial Study\\UpdatedSearch16thAug\\ISIEmbase Update References\\")
+        .when(F.col("doc_id") % 4 == 1, "S:\\Multiple Sclerosis\\")
+        .when(F.col("doc_id") % 4 == 2, "Reviews\\")
+        .otherwise("S:\\Publications\\")
+    )
+    ending = F.when(F.col("doc_id") % 7 == 3, ".doc").when(F.col("doc_id") % 7 == 4, ".PDF").otherwise(".pdf")
+    return ids.select("doc_id", "flag", F.concat(place, _paper_name(), ending).alias("hlink"))
+
+
+def paper_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, text): files of the labelled papers, below the folders where they really are."""
+    place = (
+        F.when(F.col("doc_id") % 4 == 0, "Publications/MS Clinical Trial/Journals/")
+        .when(F.col("doc_id") % 4 == 1, "")
+        .when(F.col("doc_id") % 4 == 2, "Reviews/")
+        .otherwise("Publications/")
+    )
+    return labelled(spark, folder).select(F.concat(place, _paper_name(), F.lit(".txt")).alias("key"), "text")
+
+
+def _paper_name():
+    number = F.col("doc_id").cast("string")
+    return (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("paper "), number))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("100% of %20"), number))
+        .otherwise(F.concat(F.lit("a+b "), number))
+    )
+
+
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Dense vectors in the sparse layout; labels 0-4 against 5-9."""
     scan = load_table(spark, folder, "embeddings")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from litsieve.functions.stopwords import default_stop_words
-from litsieve.plans.sweep import FRACTIONS, LEVELS, NEIGHBOURS, TUNE_LEVELS
+from litsieve.plans.sweep import FRACTIONS, FULL_TEXT_LEVELS, LEVELS, NEIGHBOURS, TUNE_LEVELS
 
 ORACLE: dict[str, str] = {}
 
@@ -186,6 +186,16 @@ ORACLE["load_bodies"] = r"""SELECT d.doc_id,
   CASE WHEN l.doc_id IS NULL THEN ''
        ELSE regexp_replace(regexp_replace(text || chr(10), '\r?\n$', ''), '\r?\n', '', 'g') END AS text
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
+FULL_TEXT = r"""papers AS (
+SELECT doc_id, quality = 1 AS flag,
+       CASE doc_id % 4 WHEN 0 THEN 'S:\Publications\MS Clinical Trial\Journals\' WHEN 1 THEN 'S:\' WHEN 2 THEN 'S:\Reviews\'
+                       ELSE 'S:\Publications\' END
+       || CASE doc_id % 3 WHEN 0 THEN 'paper ' WHEN 1 THEN '100% of %20' ELSE 'a+b ' END || doc_id
+       || CASE WHEN doc_id % 7 = 4 THEN '.PDF' ELSE '.pdf' END AS hlink,
+       regexp_replace(text, '\r?\n|\r', '', 'g') AS text
+FROM documents JOIN labels USING (doc_id) WHERE doc_id % 7 <> 3),
+clean AS (SELECT * FROM papers WHERE length(text) > 1000)"""
+ORACLE["full_text_papers"] = f"WITH {FULL_TEXT} SELECT doc_id, flag, hlink, text FROM clean"
 ORACLE["long_bodies"] = "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 1000"
 
 # ---- naive Bayes: every variant (v, level) has its own train rows and its own scored rows ----
@@ -268,6 +278,9 @@ FROM predictions"""
 ORACLE["nb_metrics"] = f"WITH {_single}, {_metrics('split')} SELECT * FROM metrics"
 _train_scope = _bayes(_rows([(0, 0.95, 1)]), "split = 'train'", "true", "train")
 ORACLE["nb_train_scope"] = f"WITH {_train_scope}, {_metrics('split')} SELECT * FROM metrics"
+_full_text = _bayes(_rows((i, s, s) for i, s in enumerate(FULL_TEXT_LEVELS)), "split = 'train'", "true", clean=FULL_TEXT)
+ORACLE["full_text_nb_curve"] = f"""WITH {_full_text}, {_metrics('x, split')}
+SELECT x AS xvar, * EXCLUDE (x) FROM metrics"""
 _levels = _bayes(_rows((i, s, s) for i, s in enumerate(LEVELS)), "split = 'train'", "true")
 _curve = f"WITH {_levels}, {_metrics('x, split')}"
 ORACLE["nb_feature_curve"] = f"{_curve} SELECT x AS xvar, * EXCLUDE (x) FROM metrics"
@@ -311,6 +324,12 @@ ORACLE["metrics_long"] = f"""{_curve}
 SELECT x AS xvar, split || '_tpr' AS variable, sensitivity AS value FROM metrics UNION ALL
 SELECT x, split || '_BAccuracy', balanced_accuracy FROM metrics UNION ALL
 SELECT x, split || '_tnr', specificity FROM metrics"""
+_none = "CAST(NULL AS DOUBLE) AS sparselevel, CAST(NULL AS DOUBLE) AS cost, CAST(NULL AS DOUBLE) AS gamma, CAST(NULL AS INTEGER) AS k"
+ORACLE["result_table"] = f"""SELECT 'feature_curve' AS curve, 'NB' AS model, {_none}, xvar AS point, xvar, variable, value
+FROM ({ORACLE['metrics_long']}) UNION ALL
+SELECT 'learning_curve', 'NB', {_none.replace('CAST(NULL AS DOUBLE) AS sparselevel', _d(0.95))}, fraction, xvar, split || suffix,
+       CASE suffix WHEN '_tpr' THEN sensitivity WHEN '_tnr' THEN specificity ELSE balanced_accuracy END
+FROM ({ORACLE['nb_learning_curve']}), (VALUES ('_tpr'), ('_BAccuracy'), ('_tnr')) v(suffix)"""
 ORACLE["series_view"] = f"SELECT * FROM ({ORACLE['metrics_long']}) WHERE NOT contains(variable, 'test')"
 ORACLE["write_series"] = ORACLE["metrics_long"]
 

@@ -16,6 +16,7 @@ from litsieve.operators.sparse_linear import scad_path, tfidf_vectors
 from litsieve.operators.svm import svm_grid
 from litsieve.plans import sweep
 from litsieve.plans.dataset import index, indexed_vocabulary, vectors
+from litsieve.plans.ledger import ResultLedger
 from litsieve.queries import inputs
 from litsieve.session import materialize, scratch_path, small_side
 from litsieve.sources import bodies, tables
@@ -302,6 +303,28 @@ def load_bodies(spark, folder):
     return bodies.load_bodies(manifest, found.withColumn("key", key)).select("doc_id", "text")
 
 
+def _full_text_papers(spark, folder):
+    root = scratch_path(spark, "papers")
+    bodies.write_named_bodies(inputs.paper_files(spark, folder), root)
+    repaired = links.normalize_links(inputs.paper_manifest(spark, folder))
+    named = repaired.withColumn("key", bodies.path_key(F.col("txtlink"), "S:"))
+    found = bodies.load_bodies(named, bodies.read_named_bodies(named, root))
+    return clean.long_bodies(found)
+
+
+@query
+def full_text_papers(spark, folder):
+    """The second driver's input: manifest, link repair, bodies by name, long ones kept."""
+    return _full_text_papers(spark, folder).select("doc_id", "flag", "hlink", "text")
+
+
+@query
+def full_text_nb_curve(spark, folder):
+    """The second driver's levels over the papers that its manifest names."""
+    data = index(_full_text_papers(spark, folder).select("doc_id", "text", "flag"))
+    return metrics.rounded(sweep.nb_feature_curve(data, sweep.FULL_TEXT_LEVELS))
+
+
 @query
 def long_bodies(spark, folder):
     return clean.long_bodies(inputs.documents(spark, folder)).select("doc_id", F.length("text").cast("long").alias("n"))
@@ -377,6 +400,17 @@ def best_balanced(spark, folder):
     return metrics.rounded(best, ("sensitivity", "specificity", "balanced_accuracy"))
 
 
+@query
+def result_table(spark, folder):
+    """Curves of naive Bayes through a ledger: two levels, then all, of which the ledger fits the rest; then the prefixes."""
+    ledger = ResultLedger(spark, scratch_path(spark, "results"))
+    data = _data(spark, folder)
+    ledger.evaluate(data, "feature_curve", "NB", values=sweep.LEVELS[:2])
+    ledger.evaluate(data, "feature_curve", "NB")
+    ledger.evaluate(data, "learning_curve", "NB", level=LEVEL)
+    return metrics.rounded(ledger.table().drop("fingerprint"), ("value",))
+
+
 @query
 def tuned_nb_holdout(spark, folder):
     """Sparse level chosen by five folds of the train rows; metrics of the refitted model on the test rows.

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import posixpath
+import re
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.session import materialize, ship_package
+
+#: Texts that a task holds at a time, besides the one file it is reading.
+CHUNK_BYTES = 16 << 20
+
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(path, text), one row per file."""
@@ -23,6 +36,90 @@ def path_key(link: Column, root: str) -> Column:
     return F.regexp_replace(F.substring_index(forward, root.rstrip("/") + "/", -1), "^/+", "")
 
 
+def _open_root(root: str) -> tuple[fs.FileSystem, str]:
+    """File system and plain path of a folder; names below it are taken literally, not as parts of a URI."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", root.rstrip("/")))
+
+
+def _inside(key: str | None) -> bool:
+    """Whether a key names something below the root."""
+    return bool(key) and not key.startswith("/") and ".." not in key.split("/")
+
+
+def body_sizes(keys: DataFrame, root: str) -> DataFrame:
+    """(key, size): bytes of the file ``root``/key; a name without file, or one that leaves the root, has no row."""
+    ship_package()
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, base = _open_root(root)
+        for batch in batches:
+            named = [k for k in batch["key"] if _inside(k)]
+            infos = place.get_file_info([f"{base}/{k}" for k in named]) if named else []
+            found = [(k, i.size) for k, i in zip(named, infos, strict=True) if i.type == fs.FileType.File]
+            yield pd.DataFrame(found, columns=["key", "size"])
+
+    return keys.select("key").mapInPandas(look, "key string, size long")
+
+
+def read_named_bodies(manifest: DataFrame, root: str, task_bytes: int = 128 << 20) -> DataFrame:
+    """(key, text) of the files below ``root`` that the manifest's ``key`` column names, each once.
+
+    Executors open the files themselves: no folder is listed, and files that no row names cost nothing. A first
+    pass asks for sizes; they give the number of tasks, about ``task_bytes`` each. A task passes texts on in
+    chunks of ``CHUNK_BYTES``, so its memory depends on its largest file alone. Names may hold any character.
+    Bytes that are no UTF-8 become replacement characters; null keys and missing files have no row.
+    """
+    ship_package()
+    sizes = materialize(body_sizes(manifest.select("key").distinct(), root), "body-sizes")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, base = _open_root(root)
+        for batch in batches:
+            texts, held = [], 0
+            for key in batch["key"]:
+                with place.open_input_stream(f"{base}/{key}") as file:
+                    raw = file.read()
+                texts.append((key, raw.decode("utf-8", "replace")))
+                held += len(raw)
+                if held >= CHUNK_BYTES:
+                    yield pd.DataFrame(texts, columns=["key", "text"])
+                    texts, held = [], 0
+            if texts:
+                yield pd.DataFrame(texts, columns=["key", "text"])
+
+    spread = sizes.repartition(max(1, math.ceil(total / task_bytes)), "key")
+    return spread.select("key").mapInPandas(read, "key string, text string")
+
+
+def write_named_bodies(bodies: DataFrame, root: str) -> int:
+    """Writes each (key, text) to ``root``/key and returns the number of files; keys are unique.
+
+    A task writes beside the target and moves the file, so a repeated task leaves whole files. Null keys and
+    keys that leave the root are not written; a null text is an empty file.
+    """
+    ship_package()
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, base = _open_root(root)
+        for batch in batches:
+            done = 0
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                if not _inside(key):
+                    continue
+                folder = posixpath.dirname(f"{base}/{key}")
+                place.create_dir(folder, recursive=True)
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with place.open_output_stream(draft) as file:
+                    file.write((text or "").encode())
+                place.move(draft, f"{base}/{key}")
+                done += 1
+            yield pd.DataFrame({"n": [done]})
+
+    written = bodies.select("key", "text").mapInPandas(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def load_bodies(manifest: DataFrame, bodies: DataFrame, separator: str = "") -> DataFrame:
     """Manifest rows with ``text``; both sides have a ``key`` column.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,12 +99,40 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SERIES).options(sep="\t", header=True, nullValue="NA").csv(path)
 
 
-def cached_table(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table as parquet unless it is there already, and reads it."""
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has finished writing a table to ``path``."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """Digest of the tables' columns and rows, whatever their order; one aggregation each, without a shuffle of rows.
+
+    Two sums of 64-bit row hashes, the second of other seeds, tell repeated rows apart from missing ones.
+    """
+    parts = []
+    for table in tables:
+        columns = [F.col(f"`{c}`") for c in table.columns]
+        wide = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
+        row = table.agg(
+            F.count(F.lit(1)).alias("n"),
+            wide(F.xxhash64(F.lit(1), *columns)).alias("a"),
+            wide(F.xxhash64(F.lit(2), *columns)).alias("b"),
+        ).first()
+        parts.append(f"{table.schema.simpleString()}|{row['n']}|{row['a']}|{row['b']}")
+    return hashlib.md5("||".join(parts).encode()).hexdigest()
+
+
+def cached_table(df: DataFrame, path: str, inputs: Sequence[DataFrame] = ()) -> DataFrame:
+    """Writes a table as parquet unless it is there already, and reads it.
+
+    With ``inputs``, the tables that ``df`` is computed from, it lies in a folder named by their fingerprint:
+    changed inputs are computed anew. Without them a table once written is never renewed.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if inputs:
+        path = f"{path.rstrip('/')}/{fingerprint(*inputs)}"
+    if not is_written(spark, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
