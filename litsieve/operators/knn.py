@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from litsieve.operators.terms import tally
 from litsieve.session import materialize, ship_package, small_side
 
-LEVELS = "q string, d2 double, n_true long, n_false long"
+LEVELS = "q string, subset int, d2 double, n_true long, n_false long"
 DIGITS = 9  # squared distances are ranked after rounding, so that ties are stable
 
 
@@ -43,12 +43,37 @@ def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(d2, 0.0), DIGITS)
 
 
-def _levels(k: int):
-    """Per query of a chunk: distance levels of one train block that can hold a k-th neighbour."""
+def _nearest_levels(d2: np.ndarray, q: np.ndarray, train: pd.DataFrame, k: int, subset: int) -> pd.DataFrame:
+    """Distance levels that can hold a k-th neighbour; ``d2`` has a column for each row of ``train``."""
+    # every merged train row stands for one neighbour at least: the k-th smallest row bounds
+    # the k-th neighbour, and all rows at that distance stay
+    last = min(k, len(train)) - 1
+    bound = np.partition(d2, last, axis=1)[:, last]
+    row, column = np.nonzero(d2 <= bound[:, None])
+    distance = d2[row, column]
+    order = np.lexsort((distance, row))
+    row, column, distance = row[order], column[order], distance[order]
+    start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (distance[1:] != distance[:-1])])
+    return pd.DataFrame(
+        {
+            "q": q[row[start]],
+            "subset": np.full(len(start), subset, np.int32),
+            "d2": distance[start],
+            "n_true": np.add.reduceat(train["n_true"].to_numpy()[column], start),
+            "n_false": np.add.reduceat(train["n_false"].to_numpy()[column], start),
+        }
+    )
+
+
+def _levels(k: int, subsets: int):
+    """Per query of a chunk and subset: distance levels of one train block that can hold a k-th neighbour.
+
+    Distances are computed once for all subsets.
+    """
 
     def run(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": [], "d2": [], "n_true": [], "n_false": []}).astype(
-            {"q": str, "d2": float, "n_true": "int64", "n_false": "int64"}
+        empty = pd.DataFrame({"q": [], "subset": [], "d2": [], "n_true": [], "n_false": []}).astype(
+            {"q": str, "subset": "int32", "d2": float, "n_true": "int64", "n_false": "int64"}
         )
         if queries.empty or train.empty:
             return empty
@@ -56,25 +81,10 @@ def _levels(k: int):
         d2 = _squared_distances(
             _dense(queries["idx"], queries["val"], columns), _dense(train["idx"], train["val"], columns)
         )
-        # every merged train row stands for one neighbour at least: the k-th smallest row bounds
-        # the k-th neighbour, and all rows at that distance stay
-        last = min(k, len(train)) - 1
-        bound = np.partition(d2, last, axis=1)[:, last]
-        row, column = np.nonzero(d2 <= bound[:, None])
-        distance = d2[row, column]
-        order = np.lexsort((distance, row))
-        row, column, distance = row[order], column[order], distance[order]
-        start = np.flatnonzero(
-            np.r_[True, (row[1:] != row[:-1]) | (distance[1:] != distance[:-1])]
-        )
-        return pd.DataFrame(
-            {
-                "q": queries["q"].to_numpy()[row[start]],
-                "d2": distance[start],
-                "n_true": np.add.reduceat(train["n_true"].to_numpy()[column], start),
-                "n_false": np.add.reduceat(train["n_false"].to_numpy()[column], start),
-            }
-        )
+        q, first = queries["q"].to_numpy(), train["first"].to_numpy()
+        held = [(s, np.flatnonzero(first <= s)) for s in range(subsets)]
+        found = [_nearest_levels(d2[:, own], q, train.iloc[own], k, s) for s, own in held if len(own)]
+        return pd.concat(found) if found else empty
 
     return run
 
@@ -108,7 +118,7 @@ def _assign(df: DataFrame, pivots: list[tuple[np.ndarray, np.ndarray]]) -> DataF
     return df.mapInPandas(distances, schema + ", pivot_d array<double>")
 
 
-def _meet(queries: DataFrame, train: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _meet(queries: DataFrame, train: DataFrame, k: int, block_rows: int, subsets: int) -> DataFrame:
     """Distance levels for queries (block, q, idx, val) against train blocks.
 
     A block that many queries reach serves them in chunks, each with its own copy of the block;
@@ -124,21 +134,23 @@ def _meet(queries: DataFrame, train: DataFrame, k: int, block_rows: int) -> Data
     return (
         left.groupBy("block", "chunk")
         .cogroup(right.groupBy("block", "chunk"))
-        .applyInPandas(_levels(k), LEVELS)
+        .applyInPandas(_levels(k, subsets), LEVELS)
     )
 
 
 def neighbour_levels(
-    query: DataFrame, train: DataFrame, k: int, block_rows: int = 2048, weight: str | None = None
+    query: DataFrame, train: DataFrame, k: int, block_rows: int = 2048, weight: str | None = None, subsets: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """(levels, keys): ``levels`` (q, d2, n_true, n_false, nearer) with all ties of the k-th
-    neighbour, ``keys`` (doc_id, q). ``query`` is (doc_id, idx, val), ``train`` has ``flag`` too.
+    """(levels, keys): ``levels`` (q, subset, d2, n_true, n_false, nearer) with all ties of the k-th
+    neighbour, ``keys`` (doc_id, q). ``query`` is (doc_id, idx, val), ``train`` has ``flag`` too, and with
+    several nested ``subsets`` also ``first``, the number of the smallest one that holds the row.
     """
     ship_package()
     keyed = materialize(_vector_key(query), "knn-query")
+    placed = train if subsets > 1 else train.withColumn("first", F.lit(0))
     votes = materialize(
-        _vector_key(train)
-        .groupBy("q")
+        _vector_key(placed)
+        .groupBy("q", "first")
         .agg(
             F.first("idx").alias("idx"),
             F.first("val").alias("val"),
@@ -150,19 +162,19 @@ def neighbour_levels(
     distinct = keyed.groupBy("q").agg(F.first("idx").alias("idx"), F.first("val").alias("val"))
     n_train = votes.count()
     if n_train:
-        found = _search(distinct, votes, k, math.ceil(2 * math.sqrt(n_train / block_rows)), block_rows)
+        found = _search(distinct, votes, k, math.ceil(2 * math.sqrt(n_train / block_rows)), block_rows, subsets)
     else:
         found = query.sparkSession.createDataFrame([], LEVELS)
-    merged = found.groupBy("q", "d2").agg(
+    merged = found.groupBy("q", "subset", "d2").agg(
         F.sum("n_true").alias("n_true"), F.sum("n_false").alias("n_false")
     )
-    before = W.partitionBy("q").orderBy("d2").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("q", "subset").orderBy("d2").rowsBetween(W.unboundedPreceding, -1)
     nearer = F.coalesce(F.sum(F.col("n_true") + F.col("n_false")).over(before), F.lit(0))
     levels = merged.withColumn("nearer", nearer).filter(F.col("nearer") < k)
     return levels, keyed.select("doc_id", "q")
 
 
-def _search(distinct, votes, k, n_pivots, block_rows) -> DataFrame:
+def _search(distinct, votes, k, n_pivots, block_rows, subsets) -> DataFrame:
     """Two passes: a query meets one block of its own cell, then every other block in reach.
 
     The number of pivots grows with the square root of the number of blocks, so pivots and
@@ -187,7 +199,7 @@ def _search(distinct, votes, k, n_pivots, block_rows) -> DataFrame:
     count_of = F.create_map(*(F.lit(x) for pair in n_blocks.items() for x in pair))
     salt = F.pmod(F.xxhash64("q"), count_of[F.col("cell")].cast("long"))
     train = train.withColumn("block", block_name(F.col("cell"), salt)).select(
-        "block", "idx", "val", "n_true", "n_false"
+        "block", "first", "idx", "val", "n_true", "n_false"
     )
     # a query whose nearest pivot is home to no train row starts in the nearest cell that has some
     filled = F.array(*(F.struct(F.col("pivot_d")[c].alias("d"), F.lit(c).alias("cell")) for c in n_blocks))
@@ -197,12 +209,19 @@ def _search(distinct, votes, k, n_pivots, block_rows) -> DataFrame:
         .withColumn("own", block_name(F.col("cell"), F.pmod(F.xxhash64("q"), count_of[F.col("cell")].cast("long")))),
         "knn-cells-query",
     )
-    # first pass: one block of the own cell gives an upper bound of the k-th distance
+    # first pass: one block of the own cell gives an upper bound of the k-th distance, if it has k rows of every subset
     first = queries.select("q", "idx", "val", F.col("own").alias("block"))
-    near = materialize(_meet(first, train, k, block_rows), "knn-near")
-    upto = F.sum(F.col("n_true") + F.col("n_false")).over(W.partitionBy("q").orderBy("d2"))
+    near = materialize(_meet(first, train, k, block_rows, subsets), "knn-near")
+    upto = F.sum(F.col("n_true") + F.col("n_false")).over(W.partitionBy("q", "subset").orderBy("d2"))
     bound = (
-        near.withColumn("upto", upto).filter(F.col("upto") >= k).groupBy("q").agg(F.min("d2").alias("bound"))
+        near.withColumn("upto", upto)
+        .filter(F.col("upto") >= k)
+        .groupBy("q", "subset")
+        .agg(F.min("d2").alias("bound"))
+        .groupBy("q")
+        .agg(F.max("bound").alias("bound"), F.count(F.lit(1)).alias("bounded"))
+        .filter(F.col("bounded") == subsets)
+        .drop("bounded")
     )
     # second pass: every block of every cell whose ring can hold a nearer or equal neighbour
     options = [
@@ -227,27 +246,31 @@ def _search(distinct, votes, k, n_pivots, block_rows) -> DataFrame:
         .filter("block != own")
         .drop("own")
     )
-    return near.unionByName(_meet(reachable, train, k, block_rows))
+    return near.unionByName(_meet(reachable, train, k, block_rows, subsets))
 
 
 def knn_votes(
-    query: DataFrame, train: DataFrame, ks: Sequence[int], block_rows: int = 2048, weight: str | None = None
+    query: DataFrame, train: DataFrame, ks: Sequence[int], block_rows: int = 2048, weight: str | None = None, subsets: int = 1
 ) -> DataFrame:
-    """(doc_id, k, votes_true, votes_false, probability, predicted) for several k at once.
+    """(doc_id, subset, k, votes_true, votes_false, probability, predicted) for several k at once.
 
     Neighbours are ranked once, for the largest k. All ties of the k-th distance vote; a tied
     vote is FALSE. ``weight`` names a column of ``train``: a row then is that many neighbours.
+
+    Several nested ``subsets`` of train rows vote apart from one search; the column ``first`` of ``train`` numbers the
+    smallest one that holds the row. A subset without rows has no votes.
     """
-    levels, keys = neighbour_levels(query, train, max(ks), block_rows, weight)
+    levels, keys = neighbour_levels(query, train, max(ks), block_rows, weight, subsets)
     per_k = F.explode(F.array(*(F.lit(k) for k in ks))).alias("k")
     votes = (
-        levels.select("q", "n_true", "n_false", "nearer", per_k)
+        levels.select("q", "subset", "n_true", "n_false", "nearer", per_k)
         .filter(F.col("nearer") < F.col("k"))
-        .groupBy("q", "k")
+        .groupBy("q", "subset", "k")
         .agg(F.sum("n_true").alias("votes_true"), F.sum("n_false").alias("votes_false"))
     )
     return keys.join(votes, "q").select(
         "doc_id",
+        "subset",
         "k",
         "votes_true",
         "votes_false",

@@ -91,11 +91,7 @@ def knn_predictions(rows: VectorSet | DataFrame, ks: Sequence[int], **options) -
         weight=weight,
         **options,
     )
-    return frame.drop("idx", "val").join(votes, "doc_id")
-
-
-def _prefix(rows: VectorSet, fraction: float) -> VectorSet:
-    return VectorSet(rows.rows.filter(F.col("h") < fraction), rows.vocab, rows.n_features, rows.weight)
+    return frame.drop("idx", "val").join(votes.drop("subset"), "doc_id")
 
 
 def _model_metrics(model: str, rows: VectorSet, cost, gamma, k) -> DataFrame:
@@ -138,13 +134,7 @@ def curve_metrics(
     if curve == "learning_curve" and model == "SVM":
         return svm_learning_curve(data, rows, values or FRACTIONS, cost, gamma)
     if curve == "learning_curve":
-        fractions = values or FRACTIONS
-        points = [
-            _at(n, _model_metrics(model, _prefix(rows, f), cost, gamma, k))
-            for f, n in zip(fractions, prefix_sizes(data.docs, fractions, data.weight))
-            if n > 0
-        ]
-        return reduce(DataFrame.unionByName, points)
+        return knn_learning_curve(data, rows, values or FRACTIONS, k)
     if curve == "k_curve" and model == "kNN":
         found = knn_predictions(rows, [int(v) for v in values or NEIGHBOURS])
         return by_point(found.withColumn("xvar", F.col("k").cast("double")), "xvar", weight=rows.weight)
@@ -159,12 +149,39 @@ def curve_metrics(
 
 def svm_learning_curve(data: Dataset, rows: VectorSet, fractions: Sequence[float], cost: float, gamma: float) -> DataFrame:
     """All prefixes fitted side by side on features that are scaled by the longest prefix's train rows."""
-    sizes = [(f, n) for f, n in zip(fractions, prefix_sizes(data.docs, fractions)) if n > 0]
+    sizes = _filled_prefixes(data, fractions)
     trains = [is_train() & (F.col("h") < f) for f, _ in sizes]
     found = svm_predictions(rows.rows, rows.n_features, [{"cost": cost, "gamma": gamma}], trains)
-    at = lambda k: F.get(F.array(*(F.lit(float(s[k])) for s in sizes)), F.col("subset"))
-    found = found.withColumn("xvar", at(1)).filter(F.col("h") < at(0))
-    return by_point(found, "xvar")
+    return _by_prefix(found, sizes)
+
+
+def knn_learning_curve(data: Dataset, rows: VectorSet, fractions: Sequence[float], k: int) -> DataFrame:
+    """All prefixes from one search: the nearest rows of each prefix are taken from the same distances."""
+    sizes = _filled_prefixes(data, fractions)
+    inside = rows.rows.filter(F.col("h") < max((f for f, _ in sizes), default=0.0))
+    first = sum((F.when(F.col("h") >= f, 1).otherwise(0) for f, _ in sizes), F.lit(0))
+    kept = ["doc_id", "flag", "idx", "val", *([rows.weight] if rows.weight else [])]
+    votes = knn_votes(
+        inside.select("doc_id", "idx", "val"),
+        inside.filter(is_train()).select(*kept, first.alias("first")),
+        [k],
+        weight=rows.weight,
+        subsets=max(1, len(sizes)),
+    )
+    return _by_prefix(inside.drop("idx", "val").join(votes, "doc_id"), sizes, rows.weight)
+
+
+def _filled_prefixes(data: Dataset, fractions: Sequence[float]) -> list[tuple[float, int]]:
+    """(fraction, rows) of the prefixes that hold rows, by size."""
+    points = sorted(fractions)
+    return [(f, n) for f, n in zip(points, prefix_sizes(data.docs, points, data.weight)) if n > 0]
+
+
+def _by_prefix(found: DataFrame, sizes: Sequence[tuple[float, int]], weight: str | None = None) -> DataFrame:
+    """Metrics over the rows of each prefix; prefixes of equal size stay apart."""
+    at = lambda k: F.get(F.array(*(F.lit(float(s[k])) for s in sizes)).cast("array<double>"), F.col("subset"))
+    own = found.withColumn("xvar", at(1)).filter(F.col("h") < at(0))
+    return by_point(own, "subset", "xvar", weight=weight).drop("subset")
 
 
 def evaluate(data: Dataset, curve: str, model: str = "SVM", **options) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.keys import hash_key
 from litsieve.operators import clean, metrics, split
+from litsieve.operators.knn import knn_votes
 from litsieve.plans import sweep
 from litsieve.plans.dataset import index, vectors
 
@@ -76,3 +77,20 @@ def test_cut_keys_by_refinement(spark, digits, max_rows):
     same = ids.select((F.col("doc_id") % 2).alias("doc_id"))  # whole keys that many rows share
     keys = sorted(r[0] for r in same.select(hash_key(5)).collect())
     assert [split.key_at_rank(same, r, 5, digits, max_rows) for r in (1, 350, 351, 700)] == [keys[r - 1] for r in (1, 350, 351, 700)]
+
+
+@pytest.mark.parametrize("block_rows", [4, 2048])
+def test_nested_subsets_from_one_search(spark, block_rows):
+    rows = [(i, i % 3 == 0, [0, 1], [float(i % 11), float(i % 4)], (i * 7) % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, flag boolean, idx array<int>, val array<double>, first int")
+    train = df.filter("doc_id < 45")
+    found = knn_votes(df, train, [1, 5, 40], block_rows, subsets=3)
+    for subset in range(3):
+        alone = knn_votes(df, train.filter(F.col("first") <= subset).drop("first"), [1, 5, 40])
+        assert plain(found.filter(F.col("subset") == subset).drop("subset").collect()) == plain(alone.drop("subset").collect())
+
+
+def test_curve_over_nothing(spark, pair):
+    one, _ = pair
+    empty = type(one)(one.docs.limit(0), one.counts.limit(0), one.weight)
+    assert sweep.curve_metrics(empty, "learning_curve", "kNN", values=(0.5, 1.0)).count() == 0
