@@ -41,6 +41,7 @@ def rows(names, table):
         "normalize_text_tagged", "remove_stopwords", "term_counts", "presence", "split_exact", "papers_kept",
         "link_normalize", "screening_tsv", "nb_predict", "nb_learning_curve", "knn_predict", "knn_small_blocks",
         "term_counts_stopped", "nb_metrics_stopped", "tuned_nb_holdout", "best_params",
+        "screened_nb_metrics", "full_text_papers", "full_text_nb_curve", "result_table",
     ],
 )
 def test_equals_sql(spark, database, name):
