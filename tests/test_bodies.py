@@ -33,3 +33,13 @@ def test_long_bodies_pass_in_chunks(spark, tmp_path, monkeypatch):
         pathlib.Path(tmp_path, name).write_text(text)
     manifest = spark.createDataFrame([(k,) for k in texts], "key string")
     assert {r.key: r.text for r in bodies.read_named_bodies(manifest, str(tmp_path)).collect()} == texts
+
+
+def test_bodies_are_not_broadcast(spark, tmp_path):
+    """Spark takes the texts for as small as their names."""
+    rows = [(f"{i}.txt", "text " * 50) for i in range(20)]
+    bodies.write_named_bodies(spark.createDataFrame(rows, "key string, text string"), str(tmp_path))
+    manifest = spark.createDataFrame([(i, f"{i}.txt") for i in range(30)], "id int, key string")
+    joined = bodies.load_bodies(manifest, bodies.read_named_bodies(manifest, str(tmp_path)))
+    assert len([r for r in joined.collect() if r.text]) == 20
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
