@@ -1,5 +1,6 @@
 """Rows that stand for several equal rows, and cuts by radix refinement."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,20 @@ def test_curve_over_nothing(spark, pair):
     one, _ = pair
     empty = type(one)(one.docs.limit(0), one.counts.limit(0), one.weight)
     assert sweep.curve_metrics(empty, "learning_curve", "kNN", values=(0.5, 1.0)).count() == 0
+
+
+def test_neighbours_are_not_shuffled_by_block(spark):
+    """Vectors of very different lengths: single precision alone would miss the order; null flags vote for nothing."""
+    rng = np.random.default_rng(5)
+    scale = 10.0 ** rng.integers(-3, 3, 90)
+    points = [(i, [True, False, None][i % 7 % 3], list(range(6)), (rng.random(6) * scale[i]).tolist()) for i in range(90)]
+    points += [(100 + i, True, list(range(6)), [v + 1e-4 * (i + 1) for v in points[2][3]]) for i in range(4)]
+    df = spark.createDataFrame(points, "doc_id long, flag boolean, idx array<int>, val array<double>")
+    found = knn_votes(df.select("doc_id", "idx", "val"), df.filter("flag IS NOT NULL"), [1, 4], 8)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    own = {(r["doc_id"], r["k"]): (r["votes_true"], r["votes_false"]) for r in found.collect()}
+    for i, _, _, x in points:
+        d = sorted((round(float(((np.array(x) - y) ** 2).sum()), 9), f) for _, f, _, y in points if f is not None)
+        for k in (1, 4):
+            voters = [f for dist, f in d if dist <= d[k - 1][0]]
+            assert own[i, k] == (sum(voters), len(voters) - sum(voters))
