@@ -43,3 +43,16 @@ def test_bodies_are_not_broadcast(spark, tmp_path):
     joined = bodies.load_bodies(manifest, bodies.read_named_bodies(manifest, str(tmp_path)))
     assert len([r for r in joined.collect() if r.text]) == 20
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listed_bodies(spark, tmp_path):
+    """Files at any depth, hidden ones left out, and no task for each few files."""
+    root = tmp_path / "all bodies"
+    names = [f"{i % 3}/doc_id={i}.txt" for i in range(100)] + ["top 100%.txt", "a/b/c+d.txt", "_x=1/e.txt"]
+    for name in [*names, "_hidden.txt", "a/.part", "_tmp/f.txt"]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"{name}\n")
+    (root / "none").mkdir()
+    found = bodies.read_bodies(spark, str(root))
+    assert {r.path: r.text for r in found.collect()} == {f"file://{root}/{n}": f"{n}\n" for n in names}
+    assert found.rdd.getNumPartitions() == 1
