@@ -1,9 +1,14 @@
 """Order and blocks of the neighbour search."""
 
+import pathlib
+
 import numpy as np
 import pytest
 
 from litsieve.operators import knn
+from litsieve.plans import sweep
+from litsieve.plans.dataset import index
+from litsieve.session import scratch_root
 
 
 def rows(spark, points):
@@ -47,3 +52,40 @@ def test_values_of_both_signs_and_far_groups(spark, block_rows):
         d2 = np.round(((points[:500] - p) ** 2).sum(axis=1), knn.DIGITS)
         near = np.flatnonzero(d2 <= np.sort(d2)[2])
         assert got[i] == ((near % 2 == 0).sum(), (near % 2 == 1).sum()), i
+
+
+def scratch(spark, *names):
+    folder = pathlib.Path(scratch_root(spark))
+    return sorted(p.name.rsplit("-", 1)[0] for p in folder.iterdir() if any(p.name.startswith(n) for n in names) and p.is_dir()) if folder.exists() else []
+
+
+def test_search_keeps_only_the_tables_that_it_reads(spark):
+    rng = np.random.default_rng(7)
+    frame = rows(spark, rng.random((60, 6)))
+    train = frame.selectExpr("doc_id", "doc_id % 2 = 0 AS flag", "idx", "val")
+    before = scratch(spark, "knn-")
+    found = knn.knn_votes(frame, train, [3], 16)
+    added = scratch(spark, "knn-")
+    for name in before:
+        added.remove(name)
+    assert added == ["knn-cells-query", "knn-files", "knn-query"]
+    assert found.count() == 60
+
+
+def test_feature_curve_drops_the_tables_of_each_level(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [(i, " ".join(words[j] for j in range(4) if (i >> j) & 1 or j == i % 4), i % 3 == 0) for i in range(48)]
+    data = index(spark.createDataFrame(texts, "doc_id long, text string, flag boolean"))
+    before = scratch(spark, "knn-", "vectors", "vocabulary")
+    found = sweep.curve_metrics(data, "feature_curve", "kNN", values=(0.9, 0.8))
+    assert scratch(spark, "knn-", "vectors", "vocabulary") == before
+    points = {(r["xvar"], r["split"]) for r in found.collect()}
+    assert points == {(x, s) for x in (0.9, 0.8) for s in ("train", "validate", "test")}
+
+
+def test_products_of_all_queries_and_of_few_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    frame = rows(spark, np.where(rng.random((300, 30)) < 0.3, rng.random((300, 30)), 0.0))
+    train = frame.filter("doc_id < 200").selectExpr("doc_id", "doc_id % 2 = 0 AS flag", "idx", "val", "int(doc_id % 3) AS first")
+    got = [sorted(map(tuple, knn.knn_votes(frame, train, [3], 16, subsets=3).collect())) for share in (0.0, 2.0) if not monkeypatch.setattr(knn, "COPIED_SHARE", share)]
+    assert got[0] == got[1] and len(got[0]) == 900
