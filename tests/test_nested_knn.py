@@ -1,6 +1,10 @@
 """Neighbours over nested vocabularies from one search."""
 
+import tempfile
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from litsieve import session
@@ -37,6 +41,36 @@ def expected(rows, train, flag, times, size, k):
     return found
 
 
+def search(rows, train, sizes):
+    """Levels of each query over each vocabulary from one task's search of one file."""
+    def table(points, **more):
+        entries = [np.flatnonzero(p) for p in points]
+        return pa.table({
+            "q": [str(i) for i in range(len(points))],
+            "idx": pa.array([e.tolist() for e in entries], pa.list_(pa.int32())),
+            "val": pa.array([p[e].tolist() for p, e in zip(points, entries)], pa.list_(pa.float64())),
+            "first": pa.array(np.zeros(len(points), np.int32)),
+            "cell": pa.array(np.zeros(len(points), np.int32)),
+            **more,
+        })
+
+    folder = tempfile.mkdtemp(prefix="knn-file-")
+    ones = pa.array([[1] * len(sizes)] * len(train), pa.list_(pa.int64()))
+    pq.write_table(table(train, n_true=ones, n_false=ones), f"{folder}/a.parquet")
+    run = nested_knn._search(folder, [("a.parquet", 0, 0)], sizes, 1, 512)
+    return sorted(tuple(r.values()) for batch in run(iter(table(rows).to_batches())) for r in batch.to_pylist())
+
+
+def test_rare_columns_are_multiplied_entry_by_entry(monkeypatch):
+    rows = points(900)
+    votes = []
+    for thin, few, entries, full in ((0.0, 1, 1 << 20, 0.6), (2.0, 1, 1 << 20, 0.6), (0.05, 1, 700, -1.0), (2.0, 1, 1 << 20, 1.0)):
+        for name, value in (("THIN", thin), ("FEW", few), ("SLICE_ENTRIES", entries), ("FULL", full)):
+            monkeypatch.setattr(nested_knn, name, value)
+        votes.append(search(rows[:400], rows[400:], SIZES))
+    assert all(v == votes[0] for v in votes) and len(votes[0]) == 400 * len(SIZES)
+
+
 @pytest.mark.parametrize(("k", "weighted", "block"), [(1, False, 256), (1, True, 16), (3, False, 16)])
 def test_votes_equal_those_of_all_pairs(spark, monkeypatch, k, weighted, block):
     monkeypatch.setattr(knn, "PRODUCT_ROWS", block)
